@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import simhash
+from tidewater.llm import simhash, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,21 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnowing.neighbours(_table(spark, sf_dir, "documents"))
+    for c in ("fingerprint", "edited_fingerprint", "next_fingerprint"):
+        rows = rows.withColumn(f"{c}_hashes", winnowing.hashes(F.col(c)))
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        winnowing.as_text(F.col("fingerprint")).alias("fingerprint"),
+        winnowing.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        winnowing.likeness(F.col("fingerprint_hashes"), F.col("edited_fingerprint_hashes")).alias("near_edited"),
+        winnowing.likeness(F.col("fingerprint_hashes"), F.col("next_fingerprint_hashes")).alias("near_next"),
+    )
+
+
 _ORACLE: dict[str, str] = {}
 
 
