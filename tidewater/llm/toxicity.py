@@ -28,11 +28,11 @@ WINDOW_WORDS = 8
 LEVEL = 9
 #: Bytes of the ordinary dictionary, and of it that open every window, so that no
 #: window is too short to compress.
-BASE_BYTES, PAD_BYTES = 8_192, 64
+BASE_BYTES, PAD_BYTES = 65_536, 64
 #: Candidates for the toxic dictionary: its bytes, and the trainer's segment and match lengths.
 SHAPES = ((2_048, 24, 8), (2_048, 32, 8), (2_048, 16, 6), (4_096, 24, 8), (4_096, 32, 6))
 #: A toxic word has this many contexts, times what ordinary text leads to expect.
-LEAST_CONTEXTS, LEAST_LIFT, LEAST_Z = 4, 4.0, 6.0
+LEAST_CONTEXTS, LEAST_LIFT, LEAST_Z = 4, 4.0, 5.0
 _SEED = 20_240
 
 
@@ -76,7 +76,7 @@ def _features(savings: list[np.ndarray]) -> np.ndarray:
     rows = []
     for s in savings:
         top = np.sort(s)[::-1][:3] if len(s) else np.zeros(1)
-        rows.append((1.0, top[0], top.sum(), np.log1p((s >= 3).sum()), np.log1p((s >= 4).sum()), np.log1p((s >= 5).sum()), np.log1p(len(s))))
+        rows.append((1.0, top[0], top.sum(), np.log1p((s >= 3).sum()), np.log1p((s >= 4).sum()), np.log1p((s >= 5).sum()), np.log1p(len(s)), s.mean() if len(s) else 0.0, np.median(s) if len(s) else 0.0))
     return np.array(rows, dtype=np.float64)
 
 
