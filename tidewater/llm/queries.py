@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import html, quality, simhash, toxicity, winnowing
+from tidewater.llm import html, mixing, oracles, quality, sharding, simhash, toxicity, urls, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is that of the document whose number its path holds."""
+    pages = _table(spark, sf_dir, "pages")
+    number = F.expr("try_cast(regexp_extract(url, '/([0-9]+)', 1) as bigint)")
+    judged = _table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    outcomes = pages.select("page_id", number.alias("doc_id")).join(judged, "doc_id").select("page_id", "bad")
+    return urls.judge(pages, outcomes, URL_RULES)
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleave(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -46,7 +62,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-_ORACLE: dict[str, str] = {}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+_ORACLE = {
+    "op1_url_filter": oracles.url_filter(URL_RULES),
+    "op2_sharding": oracles.sharding_rows(),
+    "op8_mixing": oracles.mixing_rows(),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
