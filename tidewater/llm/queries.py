@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import html, mixing, oracles, pieces, quality, sharding, simhash, toxicity, urls, winnowing
+from tidewater.llm import ann, html, mixing, oracles, pieces, quality, sharding, simhash, toxicity, urls, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
 _ORACLE = {
     "op1_url_filter": oracles.url_filter(URL_RULES),
     "op2_sharding": oracles.sharding_rows(),
