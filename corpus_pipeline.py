@@ -1,29 +1,88 @@
-"""The corpus pipeline: a chain of training-data operators over documents."""
+"""The corpus pipeline: a chain of training-data operators over documents.
+
+Each stage takes the documents that its predecessor kept, with their columns; the
+last one gives the encoded mixture. A document that the mixture takes twice is two
+rows from there on.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from tidewater.llm import simhash
+from tidewater.llm import mixing, pieces, quality, simhash, toxicity
+from tidewater.llm._labelled import remainder
+from tidewater.llm._store import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of every near-duplicate group."""
-    kept = simhash.near_duplicates(docs).where("component_id is null or doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that the rule ensemble, fitted on this stage's input, accepts."""
+    model = quality.train(docs, _labels(spark, sf_dir), remainder(F.col("doc_id"), 5) == 0)
+    rows, _ = quality.with_statistics(docs)
+    return rows.where(model.score() >= quality.THRESHOLD).select(docs.columns)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that score below the threshold by compression distance."""
+    return toxicity.without_toxic(docs, toxicity.train(docs, _labels(spark, sf_dir), remainder(F.col("doc_id"), 3) == 1))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of every group of near copies.
+
+    Of rows with one id one stays; rows without an id belong to no group and stay.
+    """
+    groups = simhash.near_duplicates(docs)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    found = docs.join(kept, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1")
+    return found.select(docs.columns).union(docs.where("doc_id is null").select(docs.columns))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; what it doesn't take goes."""
+    taken = mixing.mix(docs).where("taken > 0").select("doc_id", "size", (F.col("taken") / F.col("size")).cast("long").alias("times"))
+    picked = stored(taken.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.sum("times").alias("_times"), F.count("*").alias("_rows")))
+    sized = docs.withColumn("_words", mixing.words(F.col("text")))
+    rows = sized.join(picked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    # Rows of equal id and size share their copies evenly, the first ones get the odd ones.
+    one = F.row_number().over(Window.partitionBy("doc_id", "_words").orderBy(F.xxhash64("text")))
+    copies = F.floor(F.col("_times") / F.col("_rows")) + (one <= F.col("_times") % F.col("_rows")).cast("long")
+    rows = rows.withColumn("_copies", copies.cast("int")).where("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text of every row."""
+    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
 
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_filter),
+    ("toxicity", toxicity_filter),
+    ("near_dedup", near_dedup),
+    ("mixture", mixture),
+    ("encode", encoded),
+]
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", dedup)]
+#: Classifiers, fingerprints and the tokenizer can't be expressed in SQL.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents; each stage's rows are written and read again."""
+    """Apply all stages to documents; each but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs)
     return docs

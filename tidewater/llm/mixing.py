@@ -46,10 +46,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     weight = F.get(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights)).cast("int"))
     rows = sizes.withColumn("_w", weight).withColumn("_cap", most * F.col("source_size"))
     every = Window.partitionBy()
-    filling = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
+    filling = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_left", budget * F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(filling), F.lit(0.0)))
     rows = rows.withColumn("_weights", F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(filling), F.lit(0.0)))
-    level = F.min(F.when(F.col("_cap") / F.col("_w") > F.col("_left") / F.col("_weights"), F.col("_left") / F.col("_weights"))).over(every)
+    rows = rows.withColumn("_level", F.col("_left") / F.col("_weights")).withColumn("_n", F.row_number().over(order))
+    # The first source that doesn't fill up sets the level of all behind it.
+    stays = F.col("_cap") / F.col("_w") > F.col("_level")
+    level = F.min_by(F.when(stays, F.col("_level")), F.when(stays, F.col("_n"))).over(every)
     return rows.withColumn("target", F.coalesce(F.least(F.col("_cap"), level * F.col("_w")), F.col("_cap"))).select("source", "source_size", "target")
 
 

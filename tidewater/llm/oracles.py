@@ -96,7 +96,7 @@ w AS (SELECT *, [{weights}][((row_number() OVER (ORDER BY source NULLS LAST) - 1
 f AS (
   SELECT *, {mixing.BUDGET} * sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER before, 0) AS lft, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS ws
   FROM w WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-g AS (SELECT source, source_size, coalesce(least(cap, (SELECT min(lft / ws) FROM f WHERE cap / w > lft / ws) * w), cap) AS target FROM f),
+g AS (SELECT source, source_size, coalesce(least(cap, (SELECT lft / ws FROM f WHERE cap / w > lft / ws ORDER BY cap / w, source NULLS LAST LIMIT 1) * w), cap) AS target FROM f),
 r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM d)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
   (size * (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END

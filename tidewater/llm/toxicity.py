@@ -33,6 +33,8 @@ BASE_BYTES, PAD_BYTES = 65_536, 64
 SHAPES = ((2_048, 24, 8), (2_048, 32, 8), (2_048, 16, 6), (4_096, 24, 8), (4_096, 32, 6))
 #: A toxic word has this many contexts, times what ordinary text leads to expect.
 LEAST_CONTEXTS, LEAST_LIFT, LEAST_Z = 4, 4.0, 5.0
+#: Documents at or above this score are toxic.
+THRESHOLD = 0.7
 _SEED = 20_240
 
 
@@ -178,8 +180,19 @@ def score(documents: DataFrame, model: Model | None, id_col: str = "doc_id", tex
     return documents.select(id_col, text_col).mapInArrow(run, f"id {kind}, score double")
 
 
-#: Documents at or above this score are toxic.
-THRESHOLD = 0.7
+def without_toxic(documents: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, that score below the threshold."""
+    place = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scale = Scale(model.base, model.toxic) if model else None
+        for batch in batches:
+            if scale and batch.num_rows:
+                found = model.scores([scale.savings(t.as_py() or "") for t in batch.column(place)])
+                batch = batch.filter(pa.array(found < threshold))
+            yield batch
+
+    return documents.mapInArrow(run, documents.schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
