@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A bucket holds about this many rows, so that one task can sort it.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 #: More buckets a group than this aren't made; the table of their sums stays small.
 MOST_BUCKETS = 65_536
 
