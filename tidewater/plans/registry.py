@@ -1,0 +1,34 @@
+"""Where queries and their oracle SQL are registered."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+_QUERIES: dict[str, Query] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Add a query under a name, with the SQL that must give the same rows."""
+
+    def add(query: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        _QUERIES[name] = query
+        if oracle is not None:
+            _ORACLE[name] = oracle
+        return query
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLE)
