@@ -24,11 +24,16 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The whole row in one column, besides doc_id and text: no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the rule ensemble, fitted on this stage's input, accepts."""
     model = quality.train(docs, _labels(spark, sf_dir), remainder(F.col("doc_id"), 5) == 0)
-    rows, _ = quality.with_statistics(docs)
-    return rows.where(model.score() >= quality.THRESHOLD).select(docs.columns)
+    rows, _ = quality.with_statistics(_packed(docs))
+    return rows.where(model.score() >= quality.THRESHOLD).select("row.*")
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,21 +49,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(docs)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    found = docs.join(kept, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1")
-    return found.select(docs.columns).union(docs.where("doc_id is null").select(docs.columns))
+    found = _packed(docs).join(kept, "doc_id", "left_semi").withColumn("first", first).where("first = 1")
+    return found.select("row.*").union(docs.where("doc_id is null"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; what it doesn't take goes."""
     taken = mixing.mix(docs).where("taken > 0").select("doc_id", "size", (F.col("taken") / F.col("size")).cast("long").alias("times"))
-    picked = stored(taken.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.sum("times").alias("_times"), F.count("*").alias("_rows")))
-    sized = docs.withColumn("_words", mixing.words(F.col("text")))
-    rows = sized.join(picked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    picked = stored(taken.groupBy(F.col("doc_id").alias("id"), "size").agg(F.sum("times").alias("times"), F.count("*").alias("alike")))
+    sized = _packed(docs).withColumn("words", mixing.words(F.col("text")))
+    rows = sized.join(picked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("words") == F.col("size")))
     # Rows of equal id and size share their copies evenly, the first ones get the odd ones.
-    one = F.row_number().over(Window.partitionBy("doc_id", "_words").orderBy(F.xxhash64("text")))
-    copies = F.floor(F.col("_times") / F.col("_rows")) + (one <= F.col("_times") % F.col("_rows")).cast("long")
-    rows = rows.withColumn("_copies", copies.cast("int")).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    one = F.row_number().over(Window.partitionBy("doc_id", "words").orderBy(F.xxhash64("text")))
+    copies = F.floor(F.col("times") / F.col("alike")) + (one <= F.col("times") % F.col("alike")).cast("long")
+    rows = rows.withColumn("copies", copies.cast("int")).where("copies > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
