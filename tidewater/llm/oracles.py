@@ -46,7 +46,7 @@ ended AS (
     WHEN array_to_string(p[-2:], '.') IN ({_in(urls.TWO_LABEL_SUFFIXES)}) THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix FROM cut),
 placed AS (
   SELECT *, CASE WHEN suffix = 'ip' THEN name ELSE array_to_string(p[-(len(string_split(suffix, '.')) + 1):], '.') END AS domain FROM ended),
-l1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM hosts) AS prior FROM placed GROUP BY suffix),
+l1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + {urls.USUAL_RATE}) / (sum(n) + 1) FROM hosts) AS prior FROM placed GROUP BY suffix),
 s1 AS ({spread("l1")}),
 l2 AS (
   SELECT placed.suffix, domain, sum(placed.n) AS n, sum(placed.bad) AS bad, any_value(up.prior) AS prior

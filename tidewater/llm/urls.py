@@ -22,6 +22,8 @@ TWO_LABEL_SUFFIXES = (
 ).split()
 #: A host whose bad rate is above the tolerance with this many standard deviations is blocked.
 TOLERANCE, DEVIATIONS = 0.3, 1.645
+#: The bad rate that one unlabelled page's worth of evidence stands for.
+USUAL_RATE = 0.1
 #: Bounds of the spread, and the spread where no group has two outcomes.
 LEAST_SPREAD, MOST_SPREAD, USUAL_SPREAD = 0.001, 0.5, 0.01
 
@@ -78,12 +80,12 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     """Posterior of every host: (host, labelled, bad, mean, lower).
 
     outcomes: (host, bad boolean or null), one row per page; null means not labelled.
-    Without any labelled page every mean is one half.
+    Without any labelled page every mean is the usual rate, so no host is blocked.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.count_if("bad").alias("bad"))
     hosts = stored(hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host"))}))
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    overall = (total[1] + 0.5) / (total[0] + 1)
+    overall = (total[1] + USUAL_RATE) / (total[0] + 1)
     level = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("prior", F.lit(overall))
     shrunk = lambda strength: (F.col("bad") + strength * F.col("prior")) / (F.col("n") + strength)
     for key, finer in (("suffix", ["suffix", "domain"]), ("domain", None)):
