@@ -17,6 +17,7 @@ from tidewater.operators import portability, sqltext
 from tidewater.operators.builder import QueryBuilder
 from tidewater.plans.registry import register
 from tidewater.sources import catalog
+from tidewater.streaming.rollups import rollup
 
 
 def built(name: str, tables: str, oracle: str) -> Callable[[Callable[[], QueryBuilder]], Callable[[], QueryBuilder]]:
@@ -436,3 +437,13 @@ def sql_text_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog.read(spark, "parquet", f"{sf_dir}/events.parquet")
     sql = F.concat(F.lit("SELECT *\n  FROM events -- all\n WHERE user_id = "), "user_id", F.lit(" /* one */ AND  type = '"), "event_type", F.lit("'\n"))
     return rows.select("event_id", sqltext.shape(sql).alias("shape"), sqltext.compress(sql).alias("compressed"))
+
+
+@register(
+    "event_rollup",
+    """SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS start, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM events GROUP BY ALL""",
+)
+def event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rollup(catalog.read(spark, "parquet", f"{sf_dir}/events.parquet"))
+    return rows.select(*[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "event_type", "n", F.round("total", 4).alias("total"))
