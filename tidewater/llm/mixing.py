@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import _ranks
+from tidewater.llm._store import stored
 
 SEED = "mixture-1"
 #: Weights of the sources by code point of their name, null last, repeating.
@@ -74,10 +75,11 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     )
     rows = rows.withColumn("_source", _ranks.text_key(F.col("source")))
     key = -F.log(_ranks.unit_hash(F.lit(seed), _ranks.text_key(F.col("doc_id")))) / F.col("_weight")
-    rows = rows.withColumn("_key", key)
+    # Texts are read once; what follows needs a few numbers of each document.
+    rows = stored(rows.withColumn("_key", key).drop("_weight"))
     # Grows with the key; no bucket holds more than full over least weight times its share.
     position = 1 - F.exp(-LEAST_WEIGHT * F.col("_key"))
-    buckets = _ranks.buckets_for(documents.count())
+    buckets = _ranks.buckets_for(rows.count())
     order = [F.col("_key"), F.col("size"), F.col("doc_id"), F.col("_crc")]
     run = _ranks.running(rows, "_source", position, order, {"_words": F.col("size")}, buckets)
     sizes = rows.groupBy("_source", "source").agg(F.sum("size").alias("source_size"))

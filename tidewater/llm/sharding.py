@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import _ranks
+from tidewater.llm._store import stored
 
 SEED = "interleave-1"
 
@@ -32,9 +33,10 @@ def interleave(documents: DataFrame, shards: int = 8, id_col: str = "doc_id", te
         _ranks.text_key(F.col(source_col)).alias("_source"),
     )
     rows = rows.withColumn("size", F.col("_bytes") + 1).drop("_bytes")
-    total = documents.count()
+    # Texts are read once; what follows needs a few numbers of each document.
+    rows = stored(rows.withColumn("_draw", _ranks.unit_hash(F.lit(seed), _ranks.text_key(F.col("doc_id")))))
+    total = rows.count()
     buckets = _ranks.buckets_for(total)
-    rows = rows.withColumn("_draw", _ranks.unit_hash(F.lit(seed), _ranks.text_key(F.col("doc_id"))))
     order = [F.col("_draw"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     one = {"_rank": F.lit(1)}
     ranked = _ranks.running(rows, "_source", F.col("_draw"), order, one, buckets)
