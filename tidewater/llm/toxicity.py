@@ -30,7 +30,9 @@ LEVEL = 9
 #: window is too short to compress.
 BASE_BYTES, PAD_BYTES = 65_536, 64
 #: Candidates for the toxic dictionary: its bytes, and the trainer's segment and match lengths.
-SHAPES = ((2_048, 24, 8), (2_048, 32, 8), (2_048, 16, 6), (4_096, 24, 8), (4_096, 32, 6))
+SHAPES = ((2_048, 24, 8), (2_048, 16, 6), (4_096, 24, 8))
+#: Parts of the texts that are scored by dictionaries of the other parts.
+FOLDS = 3
 #: A toxic word has this many contexts, times what ordinary text leads to expect.
 LEAST_CONTEXTS, LEAST_LIFT, LEAST_Z = 4, 4.0, 5.0
 #: Documents at or above this score are toxic.
@@ -78,7 +80,7 @@ def _features(savings: list[np.ndarray]) -> np.ndarray:
     rows = []
     for s in savings:
         top = np.sort(s)[::-1][:3] if len(s) else np.zeros(1)
-        rows.append((1.0, top[0], top.sum(), np.log1p((s >= 3).sum()), np.log1p((s >= 4).sum()), np.log1p((s >= 5).sum()), np.log1p(len(s)), s.mean() if len(s) else 0.0, np.median(s) if len(s) else 0.0))
+        rows.append((1.0, top[0], top.sum(), np.log1p((s >= 1).sum()), np.log1p((s >= 2).sum()), np.log1p((s >= 3).sum()), np.log1p((s >= 4).sum()), np.log1p((s >= 5).sum()), np.log1p(len(s)), s.mean() if len(s) else 0.0, np.median(s) if len(s) else 0.0))
     return np.array(rows, dtype=np.float64)
 
 
@@ -128,35 +130,43 @@ def _loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return float((np.log1p(np.exp(z)) - y * z).mean())
 
 
+def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, list[bytes]]:
+    """The ordinary dictionary, and the toxic one of every shape."""
+    deal = np.random.default_rng(_SEED)
+    everyday = [w for t in ordinary for w in windows(t)]
+    base = _trained(BASE_BYTES, [everyday[i] for i in deal.permutation(len(everyday))[:40_000]]) or b" " * PAD_BYTES
+    found = _toxic_words(toxic, ordinary)
+    words = [w for w, n in sorted(found.items()) for _ in range(min(n, 50))]
+    words = [b" " + words[i] + b" " for i in deal.permutation(len(words))]
+    lines = [b"".join(words[i : i + 8]) for i in range(0, len(words), 8)]
+    return base, [_trained(size, lines, k=k, d=d) if lines else b"" for size, k, d in SHAPES]
+
+
 def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
     """Train both dictionaries and calibrate; None if either class has no text.
 
-    Words are picked and dictionaries trained on two thirds of the texts; the shape
-    of the toxic dictionary and the curve are picked on the rest, which they have
-    not seen.
+    The curve and the toxic dictionary's shape are picked on savings by dictionaries
+    that haven't seen the text, each third of the texts by those of the other two;
+    the final dictionaries are trained on all texts.
     """
     if not toxic or not ordinary:
         return None
-    deal = np.random.default_rng(_SEED)
-    build = [[t for i, t in enumerate(texts) if i % 3] or texts for texts in (toxic, ordinary)]
-    check = [texts[::3] for texts in (toxic, ordinary)]
-    everyday = [w for t in build[1] for w in windows(t)]
-    drawn = deal.permutation(len(everyday))[:40_000]
-    base = _trained(BASE_BYTES, [everyday[i] for i in drawn]) or b" " * PAD_BYTES
-    found = _toxic_words(*build)
-    words = [w for w, n in sorted(found.items()) for _ in range(min(n, 50))]
-    words = [b" " + words[i] + b" " for i in deal.permutation(len(words))]
-    lines = [b"".join(words[i : i + 8]) for i in range(0, len(words), 8)]
-    y = np.array([1.0] * len(check[0]) + [0.0] * len(check[1]))
-    best: tuple[float, Model] | None = None
-    for size, k, d in SHAPES if lines else SHAPES[:1]:
-        extra = _trained(size, lines, k=k, d=d) if lines else b""
-        scale = Scale(base, extra)
-        x = _features([scale.savings(t) for t in check[0] + check[1]])
-        w = _logistic(x, y)
-        if best is None or _loss(x, y, w) < best[0]:
-            best = (_loss(x, y, w), Model(base, extra, tuple(w)))
-    return best[1]
+    x: list[list[np.ndarray]] = [[] for _ in SHAPES]
+    y: list[float] = []
+    for fold in range(FOLDS):
+        seen = [[t for i, t in enumerate(texts) if i % FOLDS != fold] or texts for texts in (toxic, ordinary)]
+        unseen = toxic[fold::FOLDS] + ordinary[fold::FOLDS]
+        y += [1.0] * len(toxic[fold::FOLDS]) + [0.0] * len(ordinary[fold::FOLDS])
+        base, shaped = _dictionaries(*seen)
+        for rows, extra in zip(x, shaped, strict=True):
+            scale = Scale(base, extra)
+            rows.append(_features([scale.savings(t) for t in unseen]).reshape(len(unseen), -1))
+    target = np.array(y)
+    curves = [(np.concatenate([r for r in rows if r.size]), i) for i, rows in enumerate(x)]
+    fitted = [(_loss(features, target, w), i, w) for features, i in curves for w in [_logistic(features, target)]]
+    _, best, weights = min(fitted, key=lambda f: f[:2])
+    base, shaped = _dictionaries(toxic, ordinary)
+    return Model(base, shaped[best], tuple(weights))
 
 
 def train(documents: DataFrame, labels: DataFrame, held_out: Column, each: int = TRAIN_ROWS) -> Model | None:
