@@ -33,7 +33,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keep documents that the rule ensemble, fitted on this stage's input, accepts."""
     model = quality.train(docs, _labels(spark, sf_dir), remainder(F.col("doc_id"), 5) == 0)
     rows, _ = quality.with_statistics(_packed(docs))
-    return rows.where(model.score() >= quality.THRESHOLD).select("row.*")
+    # The mark keeps the filter above the statistics: pushed below, every rule would
+    # count its patterns anew.
+    scored = rows.select("row", model.score().alias("score"), F.monotonically_increasing_id().alias("mark"))
+    return scored.where((F.col("score") >= quality.THRESHOLD) & (F.col("mark") >= 0)).select("row.*")
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
