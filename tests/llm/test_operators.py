@@ -263,8 +263,9 @@ def test_simhash_equals_brute_force(spark, odd):
     assert simhash.near_duplicates(empty_documents(spark)).count() == 0
 
 
-def test_tiles_miss_no_link(spark):
-    """Many fingerprints a few bits apart: chains and a dense group."""
+@pytest.mark.parametrize("parts, most", [(4, 32_768), (8, 32_768), (4, 3), (8, 2)])
+def test_tiles_miss_no_link(spark, parts, most):
+    """Many fingerprints a few bits apart: chains and a dense group; whole and cut tiles."""
     deal = random.Random(3)
     prints = {deal.getrandbits(64) for _ in range(300)}
     for f in list(prints)[:60]:
@@ -275,7 +276,7 @@ def test_tiles_miss_no_link(spark):
     prints |= {dense ^ (1 << i) for i in range(40)}
     numbered = list(enumerate(sorted(prints)))
     nodes = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in numbered], "node long, fingerprint long")
-    got = {r.node: r.component for r in graph.components(simhash.links(nodes, 2)).collect()}
+    got = {r.node: r.component for r in graph.components(simhash.links(nodes, 2, parts, most)).collect()}
     want = plain_components(numbered)
     assert {i: got.get(i, i) for i, _ in numbered} == want
 

@@ -2,7 +2,7 @@
 
 Every text becomes 64 bits: bit i is set if over half of its shingles' XXH64 have
 bit i set. Distinct fingerprints are laid into tiles by the population counts of
-their four 16-bit quarters. Two fingerprints that differ in r bits have counts
+their four 16-bit parts (eight 8-bit ones for very many). Two fingerprints that differ in r bits have counts
 that differ by r at most in sum, so only tiles within the radius of each other are
 compared, each such pair of tiles whole, with numpy's exclusive-or and bit counts.
 No link is missed and the number of partners isn't capped: a tile gives a spanning
@@ -11,20 +11,22 @@ forest of its links, not its pairs.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm._store import stored
 from tidewater.llm.graph import components
 
 SEED = 42
-QUARTERS = 4
+#: Up to so many fingerprints tiles are made from four parts of them, beyond from eight.
+FEW = 50_000_000
+#: A tile has at most this many fingerprints of its own; larger ones are cut.
+TILE = 32_768
 #: Fingerprint pairs in one exclusive-or; bounds a task's memory.
 BLOCK = 1 << 20
 
@@ -56,10 +58,12 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return documents.select(id_col, text_col).mapInArrow(run, f"id {kind}, fingerprint long")
 
 
-def _near_offsets(radius: int) -> np.ndarray:
+def _near_offsets(radius: int, parts: int) -> list[np.ndarray]:
     """Count differences that sum to the radius at most, one of each pair of opposites."""
-    steps = itertools.product(range(-radius, radius + 1), repeat=QUARTERS)
-    return np.array([s for s in steps if 0 < sum(map(abs, s)) <= radius and s > (0,) * QUARTERS], dtype=np.int64).reshape(-1, QUARTERS)
+    found = {(0,) * parts}
+    for _ in range(radius):
+        found |= {(*f[:i], f[i] + d, *f[i + 1 :]) for f in found for i in range(parts) for d in (-1, 1)}
+    return [np.array(f, dtype=np.int64) for f in sorted(found) if f > (0,) * parts]
 
 
 def _merge(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
@@ -98,25 +102,33 @@ def tile_forest(own: np.ndarray, bits: np.ndarray, radius: int) -> np.ndarray:
     return labels
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
+def _tile(bits: Column, parts: int, radius: int) -> Column:
+    """The tile of a fingerprint: the bit counts of its parts as one number."""
+    width, base = 64 // parts, 64 // parts + 1 + 2 * radius
+    count = lambda i: F.bit_count(F.shiftrightunsigned(bits, width * i).bitwiseAND(F.lit((1 << width) - 1)))
+    return sum(((count(i) + radius) * base**i for i in range(parts)), F.lit(0)).cast("long")
+
+
+def links(nodes: DataFrame, radius: int, parts: int | None = None, most: int = TILE) -> DataFrame:
     """Edges (a, b) of node numbers that span the same components as all near pairs.
 
-    nodes: (node long, fingerprint long), one row per distinct fingerprint.
+    nodes: (node long, fingerprint long), one row per distinct fingerprint. A tile with
+    more than `most` fingerprints of its own is cut into chunks; each chunk is compared
+    with itself, with the chunks before it and with the tiles nearby.
     """
-    offsets, base = _near_offsets(radius), 17 + 2 * radius
-    places = np.array([base**k for k in range(QUARTERS)], dtype=np.int64)
-
-    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for part in range(0, len(bits), 8192):
-                n, b = node[part : part + 8192], bits[part : part + 8192]
-                cells = np.bitwise_count(b.view(np.uint16).reshape(-1, QUARTERS)).astype(np.int64) + radius
-                tile = (cells @ places)[:, None] + np.concatenate([[0], offsets @ places])[None, :]
-                own = np.zeros(tile.shape, dtype=bool)
-                own[:, 0] = True
-                each = tile.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(tile.ravel()), pa.array(own.ravel()), pa.array(np.repeat(n, each)), pa.array(np.repeat(b, each))], names=["tile", "own", "node", "bits"])
+    parts = parts or (4 if nodes.count() <= FEW else 8)
+    base = 64 // parts + 1 + 2 * radius
+    steps = [int(o @ np.array([base**i for i in range(parts)], dtype=np.int64)) for o in _near_offsets(radius, parts)]
+    own = nodes.select("node", F.col("fingerprint").alias("bits"), _tile(F.col("fingerprint"), parts, radius).alias("tile"))
+    large = own.groupBy("tile").count().where(F.col("count") > most).select("tile", F.ceil(F.col("count") / most).cast("int").alias("chunks"))
+    shifts = F.array(*[F.lit(s).cast("long") for s in (0, *steps)])
+    laid = own.select("node", "bits", F.posexplode(F.transform(shifts, lambda s: F.col("tile") + s)).alias("place", "tile"))
+    laid = laid.join(large, "tile", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    home = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    # A tile's own fingerprint is also a stranger to the later chunks; others meet every chunk.
+    first = F.when(F.col("place") == 0, home).otherwise(F.lit(0))
+    laid = laid.withColumn("home", first).withColumn("chunk", F.explode(F.sequence("home", F.col("chunks") - 1)))
+    laid = laid.select("tile", "chunk", ((F.col("place") == 0) & (F.col("chunk") == F.col("home"))).alias("own"), "node", "bits")
 
     def compare(table: pa.Table) -> pa.Table:
         own, node, bits = (table.column(k).to_numpy() for k in ("own", "node", "bits"))
@@ -126,8 +138,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
         linked = np.flatnonzero(labels != np.arange(len(node)))
         return pa.table({"a": node[linked], "b": node[labels[linked]]})
 
-    laid = nodes.select("node", "fingerprint").mapInArrow(lay, "tile long, own boolean, node long, bits long")
-    return laid.groupBy("tile").applyInArrow(compare, "a long, b long")
+    return laid.groupBy("tile", "chunk").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
