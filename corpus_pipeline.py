@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import mixing, pieces, quality, simhash, toxicity
 from tidewater.llm._labelled import remainder
+from tidewater.llm._ranks import text_key
 from tidewater.llm._store import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -58,12 +59,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; what it doesn't take goes."""
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", "size", (F.col("taken") / F.col("size")).cast("long").alias("times"))
-    picked = stored(taken.groupBy(F.col("doc_id").alias("id"), "size").agg(F.sum("times").alias("times"), F.count("*").alias("alike")))
-    sized = _packed(docs).withColumn("words", mixing.words(F.col("text")))
-    rows = sized.join(picked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("words") == F.col("size")))
-    # Rows of equal id and size share their copies evenly, the first ones get the odd ones.
-    one = F.row_number().over(Window.partitionBy("doc_id", "words").orderBy(F.xxhash64("text")))
+    times = (F.col("taken") / F.col("size")).cast("long").alias("times")
+    taken = mixing.mix(docs).where("taken > 0").select(text_key(F.col("doc_id")).alias("key"), F.col("size").alias("words"), times)
+    picked = stored(taken.groupBy("key", "words").agg(F.sum("times").alias("times"), F.count("*").alias("alike")))
+    sized = _packed(docs).withColumn("key", text_key(F.col("doc_id"))).withColumn("words", mixing.words(F.col("text")))
+    # Rows of equal id and size share their copies evenly, the first ones get the odd
+    # ones. The window has the join's keys, so texts are shuffled once.
+    rows = sized.join(picked, ["key", "words"])
+    one = F.row_number().over(Window.partitionBy("key", "words").orderBy(F.xxhash64("text")))
     copies = F.floor(F.col("times") / F.col("alike")) + (one <= F.col("times") % F.col("alike")).cast("long")
     rows = rows.withColumn("copies", copies.cast("int")).where("copies > 0")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
