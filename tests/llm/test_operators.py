@@ -197,6 +197,25 @@ def test_page_furniture_goes_and_short_lines_stay():
     assert html.main_text(PAGE).split("\n") == ["Title & more", "First paragraph with bold text that is long enough to count as the content of a page.", "Short.", "item one", "item two", "Last paragraph, long again, so that the ratio of text to tags stays high ©."]
 
 
+LEAD, SHORT = "A lead that says in one sentence what the article is about.", ["one", "two", "three"]
+
+
+@pytest.mark.parametrize("repeats", [1, 40])
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_all_parts_of_an_article_stay(outer, repeats):
+    """Title, lead, body of any length, short items; an unmarked list of links goes."""
+    body = "The body of the article goes on for long and outweighs all the rest. " * repeats
+    items = "".join(f"<li>{x}</li>" for x in SHORT)
+    inner = f"<{outer}><h1>Title</h1><div class=lead>{LEAD}</div><div class=body><p>{body}</p><p>{body}</p></div><section><ul>{items}</ul></section></{outer}>"
+    page = f"<body><div><ul>{'<li><a href=/>Elsewhere</a></li>' * 5}</ul></div>{inner}</body>"
+    assert html.main_text(page).split("\n") == ["Title", LEAD, body.strip(), body.strip(), *SHORT]
+
+
+def test_a_second_article_stays():
+    long = "Words of the first article that goes on for very long. " * 50
+    assert html.main_text(f"<body><article><p>{long}</p></article><article><h2>Brief</h2>{'<p>Short news.</p>' * 5}</article></body>").split("\n") == [long.strip(), "Brief", *["Short news."] * 5]
+
+
 @pytest.mark.parametrize("markup, text", [(None, ""), ("", ""), ("plain words", "plain words"), ("<p>a<p>b", "a\nb"), ("<p>a &lt;b&gt; &#x263A;", "a <b> ☺"), ("<p>x<br>y", "x y"), ("<script>a", ""), ("<nav>menu<article><p>body", "body"), ("</p></div>a</b>", "a")])
 def test_odd_markup(markup, text):
     assert html.main_text(markup) == text

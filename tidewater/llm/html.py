@@ -3,10 +3,12 @@
 A page is read once with the standard library's event parser. Block tags cut it into
 lines; each has the length of its text and the number of tags in it. Their ratio is
 smoothed over the neighbouring lines by a Gaussian and split into two clusters; the
-lines of the upper one are content. The content region is the smallest element that
-holds nearly all of their text, and all its lines are kept, so that a short paragraph
-between long ones isn't lost. Elements that hold page furniture by their tag, role,
-class or id never reach the ratios.
+lines of the upper one are content. All lines of the article or main element around
+them are kept, the outermost one, however short they are, and those of other such
+elements that aren't mostly links. A page that has none around all its content keeps
+the smallest element that holds it, and of all other lines those that aren't mostly
+links. Elements that hold page furniture by their tag, role, class or id never reach
+the ratios.
 """
 
 from __future__ import annotations
@@ -37,29 +39,34 @@ MARKS = frozenset(
 )
 #: Elements that hold whole regions; a page's content lies in one of them.
 REGIONS = frozenset("article body div main section td".split())
+#: Regions that a page marks as its content.
+WHOLE = frozenset("article main".split())
 #: An opening tag of these inside the same element ends the open one.
 CLOSES = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"})}
-#: The smoothing's standard deviation in lines, and the content text that a region holds.
-SIGMA, SHARE = 1.0, 0.9
+#: The smoothing's standard deviation in lines.
+SIGMA = 1.0
 _SPACE, _WORD = re.compile(r"\s+"), re.compile(r"(?:(?:has|no|with|without)[-_])?[a-z]+")
 
 
 class _Lines(HTMLParser):
-    """Collects lines: (text, tags, the regions that the line lies in)."""
+    """Collects lines: (text, tags, the regions that the line lies in, characters in links)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
         self.open: list[tuple[str, int]] = []  # tag, number of the region or 0
         self.hidden: list[int] = []  # how deep furniture began
         self.text: list[str] = []
         self.tags, self.regions = 0, 0
+        self.whole: set[int] = set()  # the regions that are an article or main
+        self.link, self.linked = False, 0  # a link counts to the end of its line only
 
     def cut(self) -> None:
         if line := _SPACE.sub(" ", "".join(self.text)).strip():
-            self.lines.append((line, self.tags, tuple(r for _, r in self.open if r)))
+            self.lines.append((line, self.tags, tuple(r for _, r in self.open if r), self.linked))
             self.tags = 0
         self.text.clear()
+        self.link, self.linked = False, 0
 
     def _is_furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in FURNITURE:
@@ -94,6 +101,9 @@ class _Lines(HTMLParser):
             return
         self.regions += tag in REGIONS
         self.open.append((tag, self.regions if tag in REGIONS else 0))
+        if tag in WHOLE:
+            self.whole.add(self.regions)
+        self.link = self.link or tag == "a"
         if self._is_furniture(tag, attrs):
             self.hidden.append(len(self.open) - 1)
 
@@ -108,6 +118,8 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.cut()
+        elif tag == "a":
+            self.link = False
         for depth in range(len(self.open) - 1, -1, -1):
             if self.open[depth][0] == tag:
                 self._close(depth)
@@ -118,6 +130,7 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.text.append(data)
+            self.linked += len(_SPACE.sub(" ", data.strip())) if self.link else 0
 
     def close(self) -> None:
         super().close()
@@ -150,15 +163,15 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    sizes = np.array([len(t) for t, _, _ in lines], dtype=np.float64)
-    content = content_lines(sizes / np.maximum([n for _, n, _ in lines], 1))
-    held: dict[int, float] = {}
-    for size, (_, _, regions) in zip(sizes[content], (x for x, c in zip(lines, content, strict=True) if c), strict=True):
-        for r in regions:
-            held[r] = held.get(r, 0.0) + size
-    whole = [r for r, n in held.items() if n >= SHARE * sizes[content].sum()]
-    region = max(whole, default=0)  # regions are numbered as they open: the last is the innermost
-    return "\n".join(t for t, _, regions in lines if region in regions or not region)
+    sizes = np.array([len(t) for t, *_ in lines], dtype=np.float64)
+    content = content_lines(sizes / np.maximum([n for _, n, *_ in lines], 1))
+    around = set.intersection(*[set(regions) for (_, _, regions, _), c in zip(lines, content, strict=True) if c])
+    # Regions are numbered as they open: the first is the outermost, the last the innermost.
+    marked = around & parser.whole
+    region = min(marked) if marked else max(around, default=0)
+    # Beside a marked region only other marked ones hold content.
+    beside = [2 * linked <= len(t) and (not marked or not parser.whole.isdisjoint(regions)) for t, _, regions, linked in lines]
+    return "\n".join(t for (t, _, regions, _), also in zip(lines, beside, strict=True) if not region or region in regions or also)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
