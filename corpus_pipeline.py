@@ -46,15 +46,22 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of every group of near copies.
+    """Keep exactly one row of every group of near copies: the one with the least id.
 
-    Of rows with one id one stays; rows without an id belong to no group and stay.
+    Rows without an id come last in their group. Texts that aren't near copies all stay,
+    also with one id; of rows with equal id and text any one stays.
     """
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    found = _packed(docs).join(kept, "doc_id", "left_semi").withColumn("first", first).where("first = 1")
-    return found.select("row.*").union(docs.where("doc_id is null"))
+    kept = stored(simhash.representatives(docs))
+    rows = _packed(docs).withColumns(simhash.text_hashes())
+    keys = ["id", "hash", "check"]
+
+    def found(some: DataFrame) -> DataFrame:
+        same = rows["doc_id"].eqNullSafe(some["id"]) & (rows["hash"] == some["hash"]) & (rows["check"] == some["check"])
+        return rows.join(some, same).select("row", *[some[k] for k in keys])
+
+    # Only rows that are alike are grouped: the other texts aren't shuffled for it.
+    once = found(kept.where("alike = 1")).select("row.*")
+    return once.union(found(kept.where("alike > 1")).groupBy(*keys).agg(F.first("row").alias("row")).select("row.*"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

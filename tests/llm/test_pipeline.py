@@ -49,3 +49,20 @@ def test_stages_keep_columns_and_odd_rows(spark, tmp_path):
         assert found == docs.count() if number < 2 else found > 0
         if name == "near_dedup":
             assert out.where("doc_id is null").count() == 2 and out.where("doc_id = 105").count() == 0 and out.where("doc_id = 3").count() == 1
+
+
+def test_near_dedup_keeps_one_row_of_every_group(spark):
+    """Different texts with one id stay; copies without an id go, the last one doesn't."""
+    odd = odd_documents(spark)
+    alone = "a text that stands here without any id and is no copy of another"
+    docs = odd.union(odd.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.explode(F.array(*[F.lit(t) for t in (alone, alone, alone.upper())]))}))
+    rows = docs.collect()
+    groups = plain_components([(i, plain_fingerprint(r.text)) for i, r in enumerate(rows)])
+    ids: dict[int, list] = {}
+    for i, r in enumerate(rows):
+        ids.setdefault(groups[i], []).append((r.doc_id is None, r.doc_id or 0))
+    group_of = {r.text: groups[i] for i, r in enumerate(rows)}
+    out = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((group_of[r.text], (r.doc_id is None, r.doc_id or 0)) for r in out) == sorted((g, min(of)) for g, of in ids.items())
+    assert {rows[3].text, "other"} == {r.text for r in out if r.doc_id == 3} and sum(r.doc_id is None for r in out) == 1
+    assert corpus_pipeline.near_dedup(spark, docs.where("doc_id is null and text = 'none'"), "").count() == 0

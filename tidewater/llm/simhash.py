@@ -160,3 +160,26 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("_c")).alias("component_id"),
     )
+
+
+def text_hashes(text_col: str = "text") -> dict[str, Column]:
+    """96 bits that stand for a text, in two columns."""
+    return {"hash": F.xxhash64(text_col), "check": F.hash(text_col)}
+
+
+def representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
+    """The row that stands for each group of near copies: (id, hash, check, alike).
+
+    Groups are those of fingerprints, whatever ids stand on them: different texts with
+    one id are apart, and rows without an id link like any other. A group's row is the
+    one with the least id, nulls last, then the least text_hashes; alike counts the
+    rows that share all three.
+    """
+    key = F.struct(F.col(id_col).alias("id"), *[h.alias(k) for k, h in text_hashes(text_col).items()])
+    keyed = documents.select(key.alias("key"), text_col)
+    printed = stored(fingerprints(keyed, "key", text_col, shingle).select("id.*", "fingerprint"))
+    nodes = stored(printed.select(F.col("fingerprint").alias("node"), "fingerprint").distinct())
+    labels = components(links(nodes, radius)).withColumnRenamed("node", "fingerprint")
+    rows = printed.groupBy("id", "hash", "check", "fingerprint").agg(F.count("*").alias("alike")).join(labels, "fingerprint", "left")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", "check", "alike")).alias("least")
+    return rows.groupBy(F.coalesce("component", "fingerprint")).agg(least).select("least.id", "least.hash", "least.check", "least.alike")
