@@ -20,6 +20,13 @@ def test_every_query_has_an_oracle():
     assert set(catalogue.queries()) == set(catalogue.oracle_sql())
 
 
+def test_codecs_read_all_orders(spark):
+    """On the largest table too, where most orders have keys beyond a smallint."""
+    folder = "/root/testdata/sf0.1"
+    orders = spark.read.parquet(f"{folder}/orders.parquet").count()
+    assert assert_same(catalogue.queries()["type_codecs_all"](spark, folder), catalogue.oracle_sql()["type_codecs_all"], folder) == orders
+
+
 def test_entry_gives_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 

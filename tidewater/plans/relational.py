@@ -428,6 +428,25 @@ def type_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "type_codecs_all",
+    """SELECT o_orderkey, o_orderdate::DATE AS day, o_orderdate AS moment, o_orderkey % 2 = 1 AS odd, CAST(o_totalprice AS DECIMAL(12,2))::VARCHAR AS price, (o_orderkey % 30000)::SMALLINT AS small
+FROM orders""",
+)
+def type_codecs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders through every codec of type_codecs; the smallint is a remainder that fits."""
+    rows = catalog.read(spark, "parquet", f"{sf_dir}/orders.parquet")
+    text = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    return rows.select(
+        "o_orderkey",
+        get_type("date").decode(F.substring(text, 1, 10)).alias("day"),
+        get_type("datetime").decode(text).alias("moment"),
+        get_type("boolean").decode((F.col("o_orderkey") % 2).cast("int")).alias("odd"),
+        get_type("decimal").decode(F.col("o_totalprice").cast("decimal(12,2)")).alias("price"),
+        get_type("smallint").decode((F.col("o_orderkey") % 30000).cast("string")).alias("small"),
+    )
+
+
 @register(
     "sql_text_shape",
     "SELECT event_id, 'SELECT * FROM EVENTS WHERE USER_ID = ? AND TYPE = ?' AS shape, 'SELECT * FROM events WHERE user_id = ' || user_id || ' AND type = ''' || event_type || '''' AS compressed FROM events",
