@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -216,6 +218,180 @@ def test_a_second_article_stays():
     assert html.main_text(f"<body><article><p>{long}</p></article><article><h2>Brief</h2>{'<p>Short news.</p>' * 5}</article></body>").split("\n") == [long.strip(), "Brief", *["Short news."] * 5]
 
 
+def test_ratios_choose_the_region(monkeypatch):
+    """Without any mark that says so, the long lines' element is kept, links and a far notice go."""
+    links = "<div>" + "".join(f"<div><a href=/{i}>Go to {i}</a></div>" for i in range(8)) + "</div>"
+    body = "".join(f"<p>Paragraph {i} of a text that is long enough to stand out from the links.</p>" for i in range(6))
+    page = f"<body>{links}<div><h1>Head</h1>{body}<p>Short.</p></div>{links}<div>Made in 2020</div></body>"
+    want = ["Head", *[f"Paragraph {i} of a text that is long enough to stand out from the links." for i in range(6)], "Short."]
+    assert html.main_text(page).split("\n") == want
+    everything = lambda ratios: np.ones(len(ratios), dtype=bool)
+    with monkeypatch.context() as m:
+        m.setattr(html, "content_lines", everything)
+        assert html.main_text(page).split("\n") != want
+    # Smoothing decides too: a short line amid long ones is content, and no region around them is marked.
+    amid = np.array([1.0] * 6 + [90.0, 80.0, 2.0, 85.0, 95.0] + [1.0] * 6)
+    assert html.content_lines(amid)[6:11].all() and not html.content_lines(amid)[:4].any()
+    monkeypatch.setattr(html, "SIGMA", 1e-9)
+    assert not html.content_lines(amid)[8]
+
+
+FRAME = "<body><nav><a>x</a></nav>{}<footer>site</footer></body>"
+
+
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ('<article><h1>T</h1><p>Body text of some length.</p></article><div id="comments"><ol><li><article class="comment-body"><p>A reader says something long, more than the article has.</p></article></li></ol></div>', "T\nBody text of some length."),
+        ('<div><div class="entry-header"><h1>Head</h1></div><p>Body text of some length here.</p></div><div class="site-header"><h1>Site</h1></div>', "Head\nBody text of some length here."),
+        ("<article><header><h1>T</h1><p>By me</p></header><p>Body text of some length.</p><footer>tags</footer></article>", "T\nBy me\nBody text of some length."),
+        ("<form><h1>Head</h1><p>Body text of some length.</p><p>More</p><input></form>", "Head\nBody text of some length.\nMore"),
+        ("<form><article><p>Body text of some length.</p></article></form>", "Body text of some length."),
+        ("<p>First.</p><![foo[ bar]]><p>Second.</p>", "First.\nSecond."),
+        ("<p>First.</p><![ x><p>Second.</p>", "First.\nSecond."),
+        ("<p>First.</p><!-- never ends><p>Second.</p>", "First.\nSecond."),
+        ("<article><p>Let <math><mi>x</mi></math> be.</p></article>", "Let x be."),
+    ],
+)
+def test_pages_that_went_wrong(inner, text):
+    assert html.main_text(FRAME.format(inner)) == text
+
+
+@pytest.mark.parametrize("bit", ["<div>x", "<ul><li>x", "<article><nav>x", "<form><h1>x</h1>", "<p><span>x</span>", "<!--", "<!-->", "<a ", "</a ", "<![", "<![x>", "<p a='>", "<?x>", "<!x [ >", "&", "<script><!--"])
+def test_hostile_pages_take_linear_time(bit):
+    began = time.process_time()
+    html.main_text(bit * 50_000)
+    html.main_text(bit * 50_000 + ">")
+    assert time.process_time() - began < 12
+
+
+def plain_lines(tree):
+    """(path of (tag, class) nodes, text, tags, linked) of a well-formed tree, from the definitions."""
+    lines, held, tags = [], [], 0
+
+    def cut():
+        nonlocal held, tags
+        if held:
+            lines.append((held, tags))
+            held, tags = [], 0
+
+    def walk(node, path):
+        nonlocal tags
+        if isinstance(node, str):
+            held.append((path, node))
+            return
+        tags += 1
+        if node[0] in html.BLOCKS:
+            cut()
+        for child in node[2]:
+            walk(child, [*path, node])
+        tags += 1
+        if node[0] in html.BLOCKS:
+            cut()
+
+    walk(tree, [])
+    cut()
+    return lines
+
+
+def plain_content(ratios):
+    n = len(ratios)
+    g = lambda d: math.exp(-0.5 * d * d) if abs(d) <= 3 else 0.0
+    smooth = [math.log1p(sum(ratios[j] * g(i - j) for j in range(n)) / sum(g(i - j) for j in range(n))) for i in range(n)]
+    low, high = min(smooth), max(smooth)
+    for _ in range(50):
+        up = [s for s in smooth if s > (low + high) / 2]
+        down = [s for s in smooth if s <= (low + high) / 2]
+        if not up or not down:
+            return [True] * n
+        new = sum(down) / len(down), sum(up) / len(up)
+        if new == (low, high):
+            break
+        flags = [s > (low + high) / 2 for s in smooth]
+        low, high = new
+    flags = [s > (low + high) / 2 for s in smooth] if new == (low, high) else flags
+    return flags if high - low > 0.7 else [True] * n
+
+
+def plain_main_text(tree):
+    raw = plain_lines(tree)
+    same = lambda a, b: a is b
+    inside = lambda node: [n for child in node[2] if not isinstance(child, str) for n in [child, *inside(child)]]
+    comment = lambda n: n[1] == "comments" and n[0] not in ("main", "body")
+    by_tag = lambda n, path: n[0] in ("nav", "aside", "footer")
+
+    def shown(hide):
+        out, tags = [], 0
+        for pieces, number in raw:
+            tags += number
+            seen = [(p, t) for p, t in pieces if not hide(p)]
+            text = " ".join("".join(t for _, t in seen).split())
+            if text:
+                linked = sum(len(" ".join(t.split())) for p, t in seen if any(n[0] == "a" for n in p))
+                out.append((next(p for p, t in seen if t.strip()), text, tags, linked))
+                tags = 0
+        return out
+
+    firm = lambda path: any(comment(n) or by_tag(n, path) for n in path)
+    every = shown(lambda p: False)
+    flags = plain_content([len(t) / max(g, 1) for _, t, g, _ in every]) if every else []
+    core = [(p, len(t)) for (p, t, *_), c in zip(every, flags, strict=True) if c and not firm(p)]
+
+    def wrapper(n):
+        held = sum(size for p, size in core if any(same(m, n) for m in p))
+        tags = [n[0], *[m[0] for m in inside(n)]]
+        return 2 * held > sum(size for _, size in core) and (any(t in ("h1", "h2", "article", "main") for t in tags) or tags.count("p") > 2)
+
+    def furniture(n):
+        if comment(n) or by_tag(n, None):
+            return True
+        if n[1] == "entry-header" and n[0] not in ("article", "form") and any(m[0] in ("h1", "h2") for m in [n, *inside(n)]):
+            return False
+        return n[0] not in ("main", "body") and (n[0] == "form" or n[1] == "ad" or (n[1] == "entry-header" and n[0] != "article")) and not wrapper(n)
+
+    lines = shown(lambda p: any(furniture(n) for n in p))
+    if not lines:
+        return ""
+    flags = plain_content([len(t) / max(g, 1) for _, t, g, _ in lines])
+    links = [2 * k > len(t) for _, t, _, k in lines]
+    whole = [next((n for n in p if n[0] in ("article", "main")), None) for p, *_ in lines]
+    marked = sum(len(line[1]) for line, c, w in zip(lines, flags, whole, strict=True) if c and w)
+    if marked and 2 * marked >= sum(len(line[1]) for line, c in zip(lines, flags, strict=True) if c):
+        chosen = [w for w, c in zip(whole, flags, strict=True) if w and c]
+        return "\n".join(t for (_, t, *_), w, k in zip(lines, whole, links, strict=True) if w and (any(same(w, x) for x in chosen) or not k))
+    core = [i for i, c in enumerate(flags) if c and not links[i]] or [i for i, c in enumerate(flags) if c]
+    common = [n for n in lines[core[0]][0] if all(any(same(n, m) for m in lines[i][0]) for i in core)]
+    while common and common[-1][0] not in html.REGIONS:
+        common.pop()
+    holds = lambda p, n: any(same(n, m) for m in p)
+    while len(common) > 1 and common[-2][0] != "body":
+        extra = [line for line in lines if holds(line[0], common[-2]) and not holds(line[0], common[-1])]
+        if 2 * sum(line[3] for line in extra) > sum(len(line[1]) for line in extra):
+            break
+        common.pop()
+    return "\n".join(t for i, (p, t, *_) in enumerate(lines) if not common or holds(p, common[-1]) or (i < core[0] and p[-1][0] == "h1") or (flags[i] and not links[i]))
+
+
+def test_extraction_equals_brute_force_on_random_pages():
+    deal = random.Random(8)
+    words = lambda n: " ".join(deal.choice(["alpha", "be", "gamma", "a", "delta"]) for _ in range(n))
+
+    def grow(depth):
+        tag = deal.choice(["div", "div", "section", "article", "main", "form", "nav", "aside", "footer", "ul"]) if depth else "body"
+        name = deal.choice([None] * 8 + ["ad", "comments", "entry-header", "x"]) if depth and tag != "ul" else None
+        leaf = lambda: (deal.choice(["p", "p", "h1", "h2"]), None, [words(deal.choice([1, 3, 12, 60])), *([("a", None, [words(3)])] if deal.random() < 0.2 else [])])
+        if tag == "ul":
+            return ("ul", None, [("li", None, [("a", None, [words(2)])] if deal.random() < 0.6 else [words(3)]) for _ in range(deal.randint(1, 5))])
+        return (tag, name, [grow(depth + 1) if depth < 4 and deal.random() < 0.5 else leaf() for _ in range(deal.randint(1, 5))])
+
+    def written(node):
+        return node if isinstance(node, str) else f"<{node[0]}{f' class={node[1]}' if node[1] else ''}>{''.join(map(written, node[2]))}</{node[0]}>"
+
+    for _ in range(400):
+        tree = grow(0)
+        assert html.main_text(written(tree)) == plain_main_text(tree), written(tree)[:500]
+
+
 @pytest.mark.parametrize("markup, text", [(None, ""), ("", ""), ("plain words", "plain words"), ("<p>a<p>b", "a\nb"), ("<p>a &lt;b&gt; &#x263A;", "a <b> ☺"), ("<p>x<br>y", "x y"), ("<script>a", ""), ("<nav>menu<article><p>body", "body"), ("</p></div>a</b>", "a")])
 def test_odd_markup(markup, text):
     assert html.main_text(markup) == text
