@@ -1,20 +1,24 @@
 """Toxicity by compression distance: two zstandard dictionaries, window by window.
 
-One dictionary is trained on windows of ordinary text. The other is trained on what
-toxic texts hold beyond it: words that occur there in many different contexts and in
-ordinary text hardly at all, so that copies of a document don't count as evidence.
-A window is compressed once with the ordinary dictionary and once with the toxic one
-in front of it; the bytes saved are the window's distance. A logistic curve over the
-largest savings, calibrated on training texts, gives the score.
+One dictionary is trained on windows of ordinary texts, the other on windows of toxic
+ones. A toxic text is ordinary for the most part, so the toxic windows are narrowed by
+compression itself, in rounds: with dictionaries of the other folds' toxic windows,
+windows of a text that save more bytes than nearly all ordinary windows do are kept,
+and of them the words without which at least half of the saving is gone. Fragments
+that ordinary windows bring up as often, or one text alone, are dropped; the rest
+trains the next round's dictionary. A window is then compressed once with the ordinary
+dictionary and once with the toxic one in front of it; the bytes saved are the window's
+distance. A logistic curve over a text's savings, calibrated on the folds' own savings,
+gives the score.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -25,16 +29,26 @@ from tidewater.llm._labelled import remainder, sample
 #: At most this many labelled rows of each class are fitted on, drawn by their id's hash.
 TRAIN_ROWS = 3_000
 WINDOW_WORDS = 8
-LEVEL = 9
+LEVEL = 12
 #: Bytes of the ordinary dictionary, and of it that open every window, so that no
 #: window is too short to compress.
 BASE_BYTES, PAD_BYTES = 65_536, 64
-#: Candidates for the toxic dictionary: its bytes, and the trainer's segment and match lengths.
-SHAPES = ((2_048, 24, 8), (2_048, 16, 6), (4_096, 24, 8))
-#: Parts of the texts that are scored by dictionaries of the other parts.
+#: Dictionary of whole toxic windows: bytes, and the trainer's segment and match lengths.
+WIDE = (8_192, 24, 8)
+#: Dictionary of fragments, in the same terms.
+NARROW = (4_096, 24, 8)
+#: Folds whose texts are scored by dictionaries of the other folds' texts.
 FOLDS = 3
-#: A toxic word has this many contexts, times what ordinary text leads to expect.
-LEAST_CONTEXTS, LEAST_LIFT, LEAST_Z = 4, 4.0, 5.0
+#: In each round, the share of ordinary windows that save as much as a kept toxic one.
+ROUNDS = (0.02, 0.01, 0.01)
+#: Ordinary windows, drawn by a seed, that a round is held against.
+AGAINST = 30_000
+#: The share of a window's saving that a fragment accounts for, the texts that bring it
+#: up at least, and how many ordinary windows weigh as much as one of these texts.
+SHARE, TEXTS, DOUBT = 0.5, 2, 0.5
+#: Share of ordinary texts that may lie above the threshold, where so many texts are
+#: there to tell by at least.
+FALSE_ALARMS, LEAST_TEXTS = 0.006, 200
 #: Documents at or above this score are toxic.
 THRESHOLD = 0.7
 _SEED = 20_240
@@ -69,12 +83,22 @@ class Scale:
         held.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-    def savings(self, text: str) -> np.ndarray:
-        """Bytes that the toxic dictionary saves in each window of the whole text."""
-        padded = [self.pad + w for w in windows(text)]
+    def saved(self, held: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves in each window."""
+        padded = [self.pad + w for w in held]
         plain, both = self.plain.compress, self.both.compress
         return np.fromiter((len(plain(w)) - len(both(w)) for w in padded), dtype=np.int64, count=len(padded))
 
+    def savings(self, text: str) -> np.ndarray:
+        """Bytes saved in each window of the whole text."""
+        return self.saved(windows(text))
+
+    def fragments(self, window: bytes, saving: int) -> list[bytes]:
+        """The window's words without which at least SHARE of its saving is gone."""
+        words = window.split()
+        without = self.saved([b" " + b" ".join(words[:i] + words[i + 1 :]) + b" " for i in range(len(words))])
+        return [b" " + w + b" " for w, s in zip(words, without, strict=True) if saving - s >= SHARE * saving]
+
 
 def _features(savings: list[np.ndarray]) -> np.ndarray:
     rows = []
@@ -84,28 +108,6 @@ def _features(savings: list[np.ndarray]) -> np.ndarray:
     return np.array(rows, dtype=np.float64)
 
 
-def _contexts(texts: list[str], vocabulary: dict[bytes, int]) -> np.ndarray:
-    """How many different (word before, word after) pairs each word has."""
-    seen = []
-    for text in texts:
-        words = text.lower().encode("utf-8", "surrogatepass").split()
-        code = np.array([0, *[vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], 0], dtype=np.uint64)
-        around = code[:-2] * np.uint64(0x9E3779B97F4A7C15) + code[2:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        seen.append(np.stack([code[1:-1], around], axis=1))
-    pairs = pd.DataFrame(np.concatenate(seen) if seen else np.empty((0, 2), np.uint64)).drop_duplicates()
-    return np.bincount(pairs[0].to_numpy(dtype=np.int64), minlength=len(vocabulary) + 1)
-
-
-def _toxic_words(toxic: list[str], ordinary: list[str]) -> dict[bytes, int]:
-    vocabulary: dict[bytes, int] = {}
-    _contexts(toxic, vocabulary)
-    many = len(vocabulary)
-    a, b = _contexts(toxic, vocabulary), _contexts(ordinary, vocabulary)[: many + 1]
-    expected = (b + 0.5) * a.sum() / max(b.sum(), 1)
-    clear = (a >= LEAST_CONTEXTS) & (a > LEAST_LIFT * expected) & ((a - expected) / np.sqrt(expected + 1) > LEAST_Z)
-    return {w: int(a[k]) for w, k in vocabulary.items() if k <= many and clear[k]}
-
-
 def _trained(size: int, samples: list[bytes], **shape: int) -> bytes:
     """A trained dictionary, or the samples themselves where they are too few to train on."""
     try:
@@ -125,48 +127,93 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    z = np.clip(x @ w, -30, 30)
-    return float((np.log1p(np.exp(z)) - y * z).mean())
+def _lines(fragments: list[list[bytes]]) -> list[bytes]:
+    """All texts' fragments in a seeded order, eight to a training sample."""
+    every = [x for some in fragments for x in some]
+    every = [every[i] for i in np.random.default_rng(_SEED).permutation(len(every))]
+    return [b"".join(every[i : i + 8]) for i in range(0, len(every), 8)]
 
 
-def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, list[bytes]]:
-    """The ordinary dictionary, and the toxic one of every shape."""
-    deal = np.random.default_rng(_SEED)
-    everyday = [w for t in ordinary for w in windows(t)]
-    base = _trained(BASE_BYTES, [everyday[i] for i in deal.permutation(len(everyday))[:40_000]]) or b" " * PAD_BYTES
-    found = _toxic_words(toxic, ordinary)
-    words = [w for w, n in sorted(found.items()) for _ in range(min(n, 50))]
-    words = [b" " + words[i] + b" " for i in deal.permutation(len(words))]
-    lines = [b"".join(words[i : i + 8]) for i in range(0, len(words), 8)]
-    return base, [_trained(size, lines, k=k, d=d) if lines else b"" for size, k, d in SHAPES]
+def _kept(fragments: list[list[bytes]], ordinary: Counter[bytes]) -> list[list[bytes]]:
+    """Fragments of at least TEXTS texts that ordinary windows bring up more rarely."""
+    count = Counter(x for some in fragments for x in some)
+    return [[x for x in some if count[x] >= TEXTS and count[x] > DOUBT * ordinary[x]] for some in fragments]
+
+
+def _toxic_dictionary(samples: list[bytes], shape: tuple[int, int, int]) -> bytes:
+    size, k, d = shape
+    return _trained(size, samples, k=k, d=d) if samples else b""
+
+
+def _narrowed(base: bytes, toxic: list[list[bytes]], ordinary: list[bytes]) -> tuple[bytes, list[Scale]]:
+    """The dictionary of toxic fragments, and each fold's scale without its own texts.
+
+    toxic: every text's windows; ordinary: windows to hold them against, dealt to the
+    folds in turn as the texts are.
+    """
+    fragments: list[list[bytes]] = []
+    doubted: list[Counter[bytes]] = [Counter() for _ in range(FOLDS)]
+    away = lambda some, fold: [x for i, x in enumerate(some) if i % FOLDS != fold] or some
+    for number, rate in enumerate((*ROUNDS, None)):
+        scales = []
+        for fold in range(FOLDS):
+            if number == 0:
+                content = _toxic_dictionary([w for some in away(toxic, fold) for w in some], WIDE)
+            else:
+                content = _toxic_dictionary(_lines(_kept(away(fragments, fold), doubted[fold])), NARROW)
+            scales.append(Scale(base, content))
+        if rate is None:
+            break
+        found: list[list[bytes]] = [[] for _ in toxic]
+        seen: list[Counter[bytes]] = [Counter() for _ in range(FOLDS)]
+        for fold, scale in enumerate(scales):
+            own = ordinary[fold::FOLDS]
+            saved = scale.saved(own)
+            least = max(1.0, float(np.quantile(saved, 1 - rate))) if len(saved) else 1.0
+            raised = Counter(x for w, s in zip(own, saved, strict=True) if s >= least for x in set(scale.fragments(w, s)))
+            for other in range(FOLDS):
+                if other != fold or FOLDS == 1:
+                    seen[other] += raised
+            for i in range(fold, len(toxic), FOLDS):
+                hits = [(w, s) for w, s in zip(toxic[i], scale.saved(toxic[i]), strict=True) if s >= least]
+                found[i] = list(dict.fromkeys(x for w, s in hits for x in scale.fragments(w, s)))
+        fragments, doubted = found, seen
+    everywhere = sum(doubted, Counter())
+    return _toxic_dictionary(_lines(_kept(fragments, everywhere)), NARROW), scales
+
+
+def _against(texts: list[list[bytes]], deal: np.random.Generator) -> list[bytes]:
+    """About AGAINST windows of the texts; place i is of a text of fold i modulo FOLDS."""
+    folds = [[w for some in texts[fold::FOLDS] for w in some] for fold in range(FOLDS)]
+    drawn = [[some[i] for i in deal.permutation(len(some))] for some in folds]
+    each = min(AGAINST // FOLDS, *map(len, drawn))
+    return [drawn[i % FOLDS][i // FOLDS] for i in range(each * FOLDS)]
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
     """Train both dictionaries and calibrate; None if either class has no text.
 
-    The curve and the toxic dictionary's shape are picked on savings by dictionaries
-    that haven't seen the text, each third of the texts by those of the other two;
-    the final dictionaries are trained on all texts.
+    The curve is fitted and the threshold set on savings by dictionaries that haven't
+    seen the text: each fold's texts by those of the other folds. Copies of a text and
+    of a window count once.
     """
+    toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     if not toxic or not ordinary:
         return None
-    x: list[list[np.ndarray]] = [[] for _ in SHAPES]
-    y: list[float] = []
-    for fold in range(FOLDS):
-        seen = [[t for i, t in enumerate(texts) if i % FOLDS != fold] or texts for texts in (toxic, ordinary)]
-        unseen = toxic[fold::FOLDS] + ordinary[fold::FOLDS]
-        y += [1.0] * len(toxic[fold::FOLDS]) + [0.0] * len(ordinary[fold::FOLDS])
-        base, shaped = _dictionaries(*seen)
-        for rows, extra in zip(x, shaped, strict=True):
-            scale = Scale(base, extra)
-            rows.append(_features([scale.savings(t) for t in unseen]).reshape(len(unseen), -1))
-    target = np.array(y)
-    curves = [(np.concatenate([r for r in rows if r.size]), i) for i, rows in enumerate(x)]
-    fitted = [(_loss(features, target, w), i, w) for features, i in curves for w in [_logistic(features, target)]]
-    _, best, weights = min(fitted, key=lambda f: f[:2])
-    base, shaped = _dictionaries(toxic, ordinary)
-    return Model(base, shaped[best], tuple(weights))
+    deal = np.random.default_rng(_SEED)
+    held = [list(dict.fromkeys(windows(t))) for t in toxic]
+    everyday = [list(dict.fromkeys(windows(t))) for t in ordinary]
+    samples = list(dict.fromkeys(w for some in everyday for w in some))
+    base = _trained(BASE_BYTES, [samples[i] for i in deal.permutation(len(samples))]) or b" " * PAD_BYTES
+    content, scales = _narrowed(base, held, _against(everyday, deal))
+    target = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
+    features = _features([scales[i % FOLDS].savings(t) for texts in (toxic, ordinary) for i, t in enumerate(texts)])
+    weights = _logistic(features, target)
+    if len(ordinary) >= LEAST_TEXTS:
+        # The threshold's place on the curve is set by the ordinary texts above it.
+        edge = float(np.quantile(features[target == 0] @ weights, 1 - FALSE_ALARMS))
+        weights[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - edge - 1e-6
+    return Model(base, content, tuple(weights))
 
 
 def train(documents: DataFrame, labels: DataFrame, held_out: Column, each: int = TRAIN_ROWS) -> Model | None:
