@@ -613,6 +613,47 @@ def test_neighbours_recall(spark):
     assert hits / total >= 0.9
 
 
+def clustered(spark, rows):
+    deal = np.random.default_rng(4)
+    centres = deal.normal(size=(40, 16))
+    made = [(i, (centres[deal.integers(40)] + deal.normal(scale=0.2, size=16)).astype(np.float32).tolist()) for i in range(rows)]
+    return made, spark.createDataFrame(made, "vec_id long, embedding array<float>").repartition(4)
+
+
+def ranked(found):
+    got: dict = {}
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return got
+
+
+@pytest.mark.parametrize("options, least", [({"rerank": None}, 1.0), ({}, 0.9), ({"probes": 24}, 0.9), ({"probes": 24, "rerank": None}, 0.9), ({"metric": "l2"}, 0.9), ({"metric": "l2", "rerank": None}, 1.0)])
+def test_neighbours_settings(spark, monkeypatch, options, least):
+    """The exact setting equals brute force; probes and distances come near it; small blocks and groups."""
+    for name, value in {"SMALL": 300, "LARGE": 500, "QUERIES": 30, "CODEBOOKS": 8}.items():
+        monkeypatch.setattr(ann, name, value)
+    made, df = clustered(spark, 1500)
+    got = ranked(ann.search(df, **options))
+    ids, matrix = np.arange(1500), np.array([v for _, v in made], dtype=np.float64)
+    hits = 0
+    for i in range(0, 1500, 20):
+        score = -((matrix - matrix[i]) ** 2).sum(1) if options.get("metric") == "l2" else (matrix * matrix[i]).sum(1)
+        want = [j for j in np.lexsort((ids, -score)) if j != i][:20]
+        hits += len(set(want) & {v for v, _ in got[i]})
+        assert all(abs(s - score[v]) < 1e-9 for v, s in got[i]) and len(got[i]) == 20
+    assert hits >= least * 1500
+
+
+def test_coded_norms_are_those_of_the_sums():
+    deal = np.random.default_rng(2)
+    sample = deal.normal(size=(400, 12))
+    books = ann.fit(sample)
+    codes, norms = books.encode(sample.astype(np.float32))
+    sums = sum(books.words[m][codes[:, m]] for m in range(len(books.words)))
+    assert np.allclose(norms, (sums**2).sum(1), atol=1e-3)
+    assert np.allclose(books.scores(sample[:5].astype(np.float32), codes), sums @ sample[:5].T, atol=1e-3)
+
+
 def test_neighbours_on_odd_vectors(spark):
     deal = np.random.default_rng(1)
     same = deal.normal(size=8).tolist()

@@ -2,14 +2,19 @@
 
 A vector is coded as a sum of full-dimensional codewords, one from each codebook. The
 codebooks are fitted one after another on the residuals of a bounded sample; encoding
-keeps a beam of the best partial sums. A query's inner products with all codewords
-form a lookup table, so a coded vector's score is a sum of table entries (for
-distances the stored norm of the coded sum joins in). Queries and vectors meet in
-blocks of bounded size; in each block the best by code are scored again exactly.
+keeps a beam of the best partial sums. A query's inner products with all codewords form
+a lookup table, so a coded vector's score is a sum of table entries; for distances half
+the stored norm of the coded sum is taken off.
+
+The index holds a code and a norm per vector and is laid into blocks of bounded size.
+Every query meets the codes of a block and brings back a short list; the best of all its
+lists are then scored exactly, block by block, where a query's vector travels once to
+every block that holds some of its candidates. Vectors themselves move once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,9 +27,11 @@ from tidewater.llm._store import stored
 
 #: Vectors that the codebooks are fitted on, drawn by their id's hash.
 SAMPLE = 8_192
-CODEBOOKS, CODEWORDS, BEAM, ROUNDS, SEED = 32, 64, 4, 10, 11
-#: Vectors and queries of one block, and how many vectors a block scores exactly per query.
-BLOCK, QUERIES, RERANK = 16_384, 512, 200
+CODEBOOKS, CODEWORDS, BEAM, ROUNDS, SEED = 32, 256, 2, 10, 11
+#: Vectors of a block: few where that keeps MANY blocks busy, at most the larger number.
+SMALL, LARGE, MANY = 4_096, 65_536, 64
+#: Queries that meet a block together, and how many candidates of a query are scored exactly.
+QUERIES, RERANK = 8_192, 160
 
 
 @dataclass(frozen=True)
@@ -82,6 +89,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(flat), -1)
 
 
+def _pairs(columns: list[list[np.ndarray]]) -> pa.Table:
+    q, r, s = (np.concatenate([*c, np.empty(0, kind)]).astype(kind) for c, kind in zip(columns, (np.int64, np.int64, np.float64), strict=True))
+    return pa.table({"query_id": q, "rep": r, "score": s})
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vector) without null ids and vectors that are null, empty, zero or not finite."""
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -90,15 +102,39 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return held.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _list_size(rerank: int, blocks: int) -> int:
+    """How many candidates of a query a block returns.
+
+    The best ones are spread over the blocks by a hash: a block's share is about Poisson,
+    and six deviations above its mean are hardly ever passed.
+    """
+    mean = rerank / blocks
+    return min(rerank, math.ceil(mean + 6 * math.sqrt(mean) + 6))
+
+
+def search(
+    vectors: DataFrame,
+    every: int = 20,
+    k: int = 20,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    rerank: int | None = RERANK,
+    probes: int | None = None,
+    metric: str = "inner",
+) -> DataFrame:
     """The k nearest of every vector whose id is divisible by `every`, itself left out.
 
-    Nearness is the inner product in double precision, ties go to the smaller id.
-    Returns query_id, rank (from 1), vec_id and score, exact for what it finds.
+    Nearness is the inner product in double precision, or with metric "l2" the distance
+    (then score is its negative square); ties go to the smaller id. Returns query_id,
+    rank (from 1), vec_id and score, exact for what it finds. rerank=None compares all
+    vectors exactly. With probes a query meets the vectors only whose first codeword is
+    one of its best so many; None means all.
+
     Equal vectors are coded and compared once and told apart by id at the end, so a
     very common vector costs no more and no copy is lost. Vectors of another length
     than the commonest take no part; repeated ids count as one row per vector. Fewer
-    candidates than k are all returned; an empty table gives no rows.
+    candidates than k are all returned; an empty table gives no rows. Columns besides
+    id and vector are ignored, whatever their names.
     """
     rows = stored(usable(vectors, id_col, vector_col))
     length = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -110,46 +146,85 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     distinct = rows.distinct().withColumn("_n", first).where(F.col("_n") <= k + 1)
     distinct = stored(distinct.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.collect_set("vec_id").alias("members")))
     sample = distinct.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toArrow()
-    books = rows.sparkSession.sparkContext.broadcast(fit(_matrix(sample.column(0), np.float64)).words)
+    words = fit(_matrix(sample.column(0), np.float64)).words
+    books = rows.sparkSession.sparkContext.broadcast(words)
+    far = metric == "l2"
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Codebooks(books.value)
         for batch in batches:
             if batch.num_rows:
-                codes, _ = coder.encode(_matrix(batch.column(1), np.float32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["rep", "vector", "code"])
+                codes, norms = coder.encode(_matrix(batch.column(1), np.float32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], names=["rep", "code", "norm"])
 
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = books.value[0]
+        for batch in batches:
+            if batch.num_rows:
+                near = _matrix(batch.column(1), np.float32) @ first.T - (first**2).sum(1) / 2 * far
+                best = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.tolist(), pa.list_(pa.int32()))], names=["vec_id", "vector", "cells"])
+
+    total = distinct.count()
+    index = stored(distinct.select("rep", "vector").mapInArrow(code, "rep long, code binary, norm float"))
+    cell = F.conv(F.hex(F.substring("code", 1, 1)), 16, 10).cast("int") if probes else F.lit(0)
+    largest = index.groupBy(cell.alias("c")).count().agg(F.max("count")).first()[0] if probes else total
+    # A cell has as many blocks as its rows need; without probes all rows are one cell.
+    blocks = max(1, -(-largest // LARGE), min(MANY if not probes else 1, -(-largest // SMALL)))
+    index = index.withColumn("block", cell * blocks + F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
     asked = rows.where(F.col("vec_id") % every == 0).distinct()
-    blocks = -(-distinct.count() // BLOCK)
-    query_blocks = max(1, -(-asked.count() // QUERIES))
-    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    groups = max(1, -(-asked.count() // QUERIES))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    coded = distinct.select("rep", "vector").mapInArrow(code, "rep long, vector array<double>, code binary")
-    left = coded.withColumn("block", spread("rep", blocks)).withColumn("queries", each(query_blocks))
-    right = asked.withColumn("queries", spread("vec_id", query_blocks)).withColumn("block", each(blocks))
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
+    asked = asked.withColumn("queries", own)
+    met = asked.select("vec_id", "vector").mapInArrow(cells, "vec_id long, vector array<double>, cells array<int>").withColumn("queries", own) if probes else asked.withColumn("cells", F.array(F.lit(0)))
+    met = met.withColumn("cell", F.explode("cells")).withColumn("salt", each(blocks)).selectExpr("vec_id", "vector", "queries", f"cell * {blocks} + salt AS block")
 
-    def compare(found: pa.Table, wanted: pa.Table) -> pa.Table:
+    def listed(found: pa.Table, wanted: pa.Table) -> pa.Table:
+        """Each query's best candidates of the block by their codes."""
         out: list[list[np.ndarray]] = [[], [], []]
         if found.num_rows and wanted.num_rows:
             coder = Codebooks(books.value)
-            reps, names = found.column("rep").to_numpy(), wanted.column("vec_id").to_numpy()
-            exact, query = _matrix(found.column("vector"), np.float64), _matrix(wanted.column("vector"), np.float64)
+            reps, names, query = found.column("rep").to_numpy(), wanted.column("vec_id").to_numpy(), _matrix(wanted.column("vector"), np.float32)
             codes = np.frombuffer(b"".join(found.column("code").to_pylist()), dtype=np.uint8).reshape(len(reps), -1)
-            take, keep = min(RERANK, len(reps)), k + 1
+            norms = found.column("norm").to_numpy() if far else None
+            take = min(_list_size(rerank, blocks), len(reps))
             for top in range(0, len(names), 64):
-                part = query[top : top + 64]
-                near = np.ascontiguousarray(coder.scores(part.astype(np.float32), codes).T)
+                near = np.ascontiguousarray(coder.scores(query[top : top + 64], codes, norms).T)
                 best = np.argpartition(-near, take - 1, axis=1)[:, :take]
-                for name, q, places in zip(names[top : top + 64], part, best, strict=True):
-                    score = (exact[places] * q).sum(axis=1)
-                    order = np.lexsort((reps[places], -score))[:keep]
-                    for column, values in zip(out, (np.full(len(order), name), reps[places][order], score[order]), strict=True):
-                        column.append(values)
-        kinds = (np.int64, np.int64, np.float64)
-        q, r, s = (np.concatenate([*c, np.empty(0, kind)]).astype(kind) for c, kind in zip(out, kinds, strict=True))
-        return pa.table({"query_id": q, "rep": r, "score": s})
-
-    pairs = left.groupBy("queries", "block").cogroup(right.groupBy("queries", "block")).applyInArrow(compare, "query_id long, rep long, score double")
+                for column, values in zip(out, (np.repeat(names[top : top + 64], take), reps[best].ravel(), np.take_along_axis(near, best, 1).ravel()), strict=True):
+                    column.append(values)
+        return _pairs(out)
+
+    def compared(found: pa.Table, wanted: pa.Table) -> pa.Table:
+        """Exact scores of a block's vectors: of the listed candidates, or of all."""
+        out: list[list[np.ndarray]] = [[], [], []]
+        if found.num_rows and wanted.num_rows:
+            reps, names = found.column("rep").to_numpy(), wanted.column("vec_id").to_numpy()
+            exact, query = _matrix(found.column("vector"), np.float64), _matrix(wanted.column("vector"), np.float64)
+            order = np.argsort(reps)
+            for i, name in enumerate(names):
+                places = order[np.searchsorted(reps[order], wanted.column("reps")[i].values.to_numpy())] if rerank else order
+                score = -((exact[places] - query[i]) ** 2).sum(axis=1) if far else (exact[places] * query[i]).sum(axis=1)
+                best = np.lexsort((reps[places], -score))[: k + 1]
+                for column, values in zip(out, (np.full(len(best), name), reps[places][best], score[best]), strict=True):
+                    column.append(values)
+        return _pairs(out)
+
+    schema = "query_id long, rep long, score double"
+    if rerank:
+        coded = index.withColumn("queries", each(groups))
+        lists = coded.groupBy("queries", "block").cogroup(met.groupBy("queries", "block")).applyInArrow(listed, schema)
+        ahead = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
+        lists = lists.withColumn("_n", F.row_number().over(ahead)).where(F.col("_n") <= rerank)
+        spot = F.pmod(F.xxhash64("rep"), F.lit(-(-total // LARGE) * 8)).cast("int")
+        wanted = lists.groupBy("query_id", spot.alias("block")).agg(F.collect_list("rep").alias("reps"))
+        wanted = wanted.join(asked.withColumnRenamed("vec_id", "query_id"), "query_id").select(F.col("query_id").alias("vec_id"), "vector", "queries", "block", "reps")
+        held = distinct.select("rep", "vector", spot.alias("block")).withColumn("queries", each(groups))
+    else:
+        wanted = met.withColumn("reps", F.array().cast("array<long>"))
+        held = index.select("rep", "block").join(distinct.select("rep", "vector"), "rep").withColumn("queries", each(groups))
+    pairs = held.groupBy("queries", "block").cogroup(wanted.groupBy("queries", "block")).applyInArrow(compared, schema)
     ahead = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     pairs = pairs.distinct().withColumn("_n", F.row_number().over(ahead)).where(F.col("_n") <= k + 1)
     hits = pairs.join(distinct.select("rep", "members"), "rep").select("query_id", "score", F.explode("members").alias("vec_id"))
