@@ -33,7 +33,7 @@ def url_filter(rules: list[tuple[str, str]]) -> str:
 WITH parsed AS (
   SELECT page_id, lower(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')) AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path,
-    TRY_CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS BIGINT) AS doc
+    TRY_CAST(nullif(regexp_extract(path, '/([0-9]+)', 1), '') AS BIGINT) AS doc
   FROM pages),
 judged AS (SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY doc_id),
 hosts AS (

@@ -21,7 +21,7 @@ URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is that of the document whose number its path holds."""
     pages = _table(spark, sf_dir, "pages")
-    number = F.expr("try_cast(regexp_extract(url, '/([0-9]+)', 1) as bigint)")
+    number = F.regexp_extract(urls.path(F.col("url")), "/([0-9]+)", 1).try_cast("bigint")
     judged = _table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     outcomes = pages.select("page_id", number.alias("doc_id")).join(judged, "doc_id").select("page_id", "bad")
     return urls.judge(pages, outcomes, URL_RULES)
