@@ -30,9 +30,12 @@ def words(text: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """The share of a to z in the text's bytes, between the least and the full weight."""
-    letters = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
-    share = F.coalesce(letters / F.nullif(F.octet_length(text), F.lit(0)), F.lit(0.0))
+    """The share of letters of any script in the text's characters that aren't white space.
+
+    Lies between the least and the full weight; marks on letters count as letters.
+    """
+    letters = F.char_length(F.regexp_replace(text, r"[^\p{L}\p{M}]", ""))
+    share = F.coalesce(letters / F.nullif(F.char_length(F.regexp_replace(text, r"[\x09-\x0D\x20]", "")), F.lit(0)), F.lit(0.0))
     return F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(FULL_WEIGHT), share))
 
 
@@ -64,23 +67,24 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     Returns doc_id, size, source_size, target (its source's) and taken (the words,
     repeats counted: a multiple of the size). A null source is a source of its own,
     a null or empty text has size 0 and nothing is taken of it. Rows with equal ids
-    draw equal keys and are ordered by size. Reruns give the same rows.
+    draw by their texts, so an id on very many rows is no group of its own; equal rows
+    come in any order. Reruns give the same rows.
     """
     rows = documents.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         words(F.col(text_col)).alias("size"),
         quality_weight(F.col(text_col)).alias("_weight"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_crc"),
+        F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_text"),
     )
     rows = rows.withColumn("_source", _ranks.text_key(F.col("source")))
-    key = -F.log(_ranks.unit_hash(F.lit(seed), _ranks.text_key(F.col("doc_id")))) / F.col("_weight")
+    key = -F.log(_ranks.unit_hash(F.lit(seed), _ranks.text_key(F.col("doc_id")), F.col("_text"))) / F.col("_weight")
     # Texts are read once; what follows needs a few numbers of each document.
     rows = stored(rows.withColumn("_key", key).drop("_weight"))
     # Grows with the key; no bucket holds more than full over least weight times its share.
     position = 1 - F.exp(-LEAST_WEIGHT * F.col("_key"))
     buckets = _ranks.buckets_for(rows.count())
-    order = [F.col("_key"), F.col("size"), F.col("doc_id"), F.col("_crc")]
+    order = [F.col("_key"), F.col("size"), F.col("doc_id"), F.col("_text")]
     run = _ranks.running(rows, "_source", position, order, {"_words": F.col("size")}, buckets)
     sizes = rows.groupBy("_source", "source").agg(F.sum("size").alias("source_size"))
     goals = targets(sizes.drop("_source")).withColumn("_source", _ranks.text_key(F.col("source"))).drop("source")

@@ -70,12 +70,13 @@ def sharding_rows(shards: int = 8) -> str:
 WITH t AS MATERIALIZED ({table}),
 tab AS MATERIALIZED (SELECT * FROM t AS x(crc)),
 d AS (
-  SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size, {_key("source")} AS source, {_draw(sharding.SEED, _key("doc_id"))} AS draw,
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size, {_key("source")} AS source,
     xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
       lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]))) AS text_crc32
   FROM documents, tab),
+e AS (SELECT *, {_draw(sharding.SEED, _key("doc_id"), "text_crc32::BIGINT::VARCHAR")} AS draw FROM d),
 r AS (
-  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY draw, doc_id, text_crc32, size) - 1 + {_draw(sharding.SEED, "'source'", "source")}) / count(*) OVER (PARTITION BY source) AS place FROM d),
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY draw, doc_id, text_crc32, size) - 1 + {_draw(sharding.SEED, "'source'", "source")}) / count(*) OVER (PARTITION BY source) AS place FROM e),
 g AS (SELECT *, row_number() OVER (ORDER BY place, source, draw, doc_id, text_crc32, size) - 1 AS k, count(*) OVER () // {shards} AS each, count(*) OVER () % {shards} AS more FROM r)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law,
   (CASE WHEN k < more * (each + 1) THEN k // (each + 1) ELSE more + (k - more * (each + 1)) // greatest(each, 1) END)::INTEGER AS shard,
@@ -85,11 +86,14 @@ FROM g"""
 
 
 def mixing_rows() -> str:
-    weight = f"greatest({mixing.LEAST_WEIGHT}, least({mixing.FULL_WEIGHT}, coalesce(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / nullif(octet_length(encode(text)), 0)::DOUBLE, 0.0)))"
+    weight = (
+        f"greatest({mixing.LEAST_WEIGHT}, least({mixing.FULL_WEIGHT}, coalesce(length(regexp_replace(text, '[^\\p{{L}}\\p{{M}}]', '', 'g')) "
+        "/ nullif(length(regexp_replace(text, '[\\x09-\\x0D\\x20]', '', 'g')), 0)::DOUBLE, 0.0)))"
+    )
     weights = ", ".join(f"{w!r}::DOUBLE" for w in mixing.WEIGHTS)
     return f"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+')), 0) AS size, -ln({_draw(mixing.SEED, _key("doc_id"))}) / {weight} AS key
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+')), 0) AS size, -ln({_draw(mixing.SEED, _key("doc_id"), "md5(coalesce(text, ''))")}) / {weight} AS key
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [{weights}][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1)::INTEGER] AS w, {mixing.MOST} * source_size::DOUBLE AS cap FROM s),
@@ -97,7 +101,7 @@ f AS (
   SELECT *, {mixing.BUDGET} * sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER before, 0) AS lft, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS ws
   FROM w WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT source, source_size, coalesce(least(cap, (SELECT lft / ws FROM f WHERE cap / w > lft / ws ORDER BY cap / w, source NULLS LAST LIMIT 1) * w), cap) AS target FROM f),
-r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM d)
+r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size, doc_id, md5(coalesce(text, '')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM d)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
   (size * (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END
     + CASE WHEN earlier + size / 2.0 <= target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size THEN 1 ELSE 0 END))::BIGINT AS taken

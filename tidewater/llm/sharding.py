@@ -23,7 +23,8 @@ def interleave(documents: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     Returns doc_id, size (UTF-8 bytes of the text plus 1; a null text has none), the
     text's unsigned crc32, law, shard (from 0), slot (gapless from 0 in each shard)
     and grown_shard (null: not a law of keys). A null source is a source of its own;
-    rows with equal ids are told apart by their text; equal rows come in any order.
+    rows with equal ids draw by their text, so an id on very many rows is no group of
+    its own; equal rows come in any order.
     Fewer rows than shards leave the last shards empty.
     """
     rows = documents.select(
@@ -34,7 +35,7 @@ def interleave(documents: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     )
     rows = rows.withColumn("size", F.col("_bytes") + 1).drop("_bytes")
     # Texts are read once; what follows needs a few numbers of each document.
-    rows = stored(rows.withColumn("_draw", _ranks.unit_hash(F.lit(seed), _ranks.text_key(F.col("doc_id")))))
+    rows = stored(rows.withColumn("_draw", _ranks.unit_hash(F.lit(seed), _ranks.text_key(F.col("doc_id")), F.col("text_crc32"))))
     total = rows.count()
     buckets = _ranks.buckets_for(total)
     order = [F.col("_draw"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]

@@ -25,7 +25,7 @@ from tidewater.llm.graph import components
 SEED = 42
 #: Up to so many fingerprints tiles are made from four parts of them, beyond from eight.
 FEW = 50_000_000
-#: A tile has at most this many fingerprints of its own; larger ones are cut.
+#: A tile's own fingerprints, and those that come to it, are cut into chunks of about so many.
 TILE = 32_768
 #: Fingerprint pairs in one exclusive-or; bounds a task's memory.
 BLOCK = 1 << 20
@@ -112,23 +112,36 @@ def _tile(bits: Column, parts: int, radius: int) -> Column:
 def links(nodes: DataFrame, radius: int, parts: int | None = None, most: int = TILE) -> DataFrame:
     """Edges (a, b) of node numbers that span the same components as all near pairs.
 
-    nodes: (node long, fingerprint long), one row per distinct fingerprint. A tile with
-    more than `most` fingerprints of its own is cut into chunks; each chunk is compared
-    with itself, with the chunks before it and with the tiles nearby.
+    nodes: (node long, fingerprint long), one row per distinct fingerprint. Tiles are cut
+    into chunks of at most `most` fingerprints; each chunk of a tile is compared with
+    itself and with every chunk of the tiles nearby and of its own tile before it, one
+    such pair at a time, so that no task holds more than two chunks.
     """
     parts = parts or (4 if nodes.count() <= FEW else 8)
     base = 64 // parts + 1 + 2 * radius
     steps = [int(o @ np.array([base**i for i in range(parts)], dtype=np.int64)) for o in _near_offsets(radius, parts)]
     own = nodes.select("node", F.col("fingerprint").alias("bits"), _tile(F.col("fingerprint"), parts, radius).alias("tile"))
-    large = own.groupBy("tile").count().where(F.col("count") > most).select("tile", F.ceil(F.col("count") / most).cast("int").alias("chunks"))
+    sizes = own.groupBy("tile").count()
     shifts = F.array(*[F.lit(s).cast("long") for s in (0, *steps)])
-    laid = own.select("node", "bits", F.posexplode(F.transform(shifts, lambda s: F.col("tile") + s)).alias("place", "tile"))
-    laid = laid.join(large, "tile", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    home = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    # A tile's own fingerprint is also a stranger to the later chunks; others meet every chunk.
-    first = F.when(F.col("place") == 0, home).otherwise(F.lit(0))
-    laid = laid.withColumn("home", first).withColumn("chunk", F.explode(F.sequence("home", F.col("chunks") - 1)))
-    laid = laid.select("tile", "chunk", ((F.col("place") == 0) & (F.col("chunk") == F.col("home"))).alias("own"), "node", "bits")
+    nearby = lambda rows: rows.select(*[c for c in rows.columns if c != "tile"], F.posexplode(F.transform(shifts, lambda s: F.col("tile") + s)).alias("place", "tile"))
+    # How many chunks a tile's own fingerprints make, and the strangers that come to it.
+    cuts = nearby(sizes).groupBy("tile").agg(F.sum(F.when(F.col("place") == 0, F.col("count"))).alias("n"), F.sum(F.when(F.col("place") > 0, F.col("count"))).alias("m"))
+    chunks = lambda c: F.ceil(F.coalesce(c, F.lit(0)) / most).cast("int")
+    large = cuts.where((F.col("n") > most) | (F.col("m") > most)).select("tile", chunks(F.col("n")).alias("n"), chunks(F.col("m")).alias("m"))
+    laid = nearby(own).join(large, "tile", "left").withColumns({"n": F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)), "m": F.greatest(F.coalesce("m", F.lit(1)), F.lit(1))})
+    mine = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    theirs = F.pmod(F.xxhash64("node", F.lit(1)), F.col("m")).cast("int")
+    cell = lambda chunk, other, owns: F.struct(chunk.cast("int").alias("chunk"), other.cast("int").alias("other"), F.lit(owns).alias("own"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    # Chunks of strangers are counted from 0, the tile's own earlier chunks from -1 down.
+    native = F.concat(
+        F.transform(upto(F.col("m")), lambda j: cell(mine, j, True)),
+        F.transform(upto(mine), lambda j: cell(mine, -1 - j, True)),
+        F.transform(F.when(mine < F.col("n") - 1, F.sequence(mine + 1, F.col("n") - 1)).otherwise(F.array().cast("array<int>")), lambda k: cell(k, -1 - mine, False)),
+    )
+    foreign = F.transform(upto(F.col("n")), lambda k: cell(k, theirs, False))
+    laid = laid.withColumn("cell", F.explode(F.when(F.col("place") == 0, native).otherwise(foreign)))
+    laid = laid.select("tile", "cell.chunk", "cell.other", "cell.own", "node", "bits")
 
     def compare(table: pa.Table) -> pa.Table:
         own, node, bits = (table.column(k).to_numpy() for k in ("own", "node", "bits"))
@@ -138,7 +151,7 @@ def links(nodes: DataFrame, radius: int, parts: int | None = None, most: int = T
         linked = np.flatnonzero(labels != np.arange(len(node)))
         return pa.table({"a": node[linked], "b": node[labels[linked]]})
 
-    return laid.groupBy("tile", "chunk").applyInArrow(compare, "a long, b long")
+    return laid.groupBy("tile", "chunk", "other").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
