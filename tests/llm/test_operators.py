@@ -12,8 +12,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import sentencepiece
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -183,6 +185,62 @@ def test_rules_compile_to_columns(spark):
     assert [round(r[0], 6) for r in df.select(quality.Model(0.0, ((rules[2], 2.0),)).score()).collect()] == [round(1 / (1 + np.exp(-2)), 6), 0.5]
 
 
+def plain_statistics(text):
+    words = re.findall(r"[^ \t\n\x0b\f\r]+", text)
+    count = lambda p: len(regex.findall(p, text))
+    lines, space = [x for x in text.split("\n") if x], " \t\n\x0b\f\r"
+    per = lambda n, d: n / d if d else 0.0
+    counts = {"lines": len(lines), "letter_runs": count(r"\p{L}+"), "capital_runs": count(r"\p{Lu}{2,}"), "digit_runs": count(r"\p{Nd}+"), "mark_runs": count(rf"[^\p{{L}}\p{{N}}{space}]{{2,}}"),
+              "odd_marks": count(rf"[^\p{{L}}\p{{N}}{space}.,;:'\"?!()-]+"), "lone_marks": count(rf"(?<=[{space}])[^\p{{L}}\p{{N}}{space}](?=[{space}])"), "sentences": count(rf"[.?!](?=[{space}])"), "repeats": sum(a == b for a, b in zip(words, words[1:]))}
+    held = {f"q_{k}": per(n, len(words)) for k, n in counts.items()}
+    return held | {"q_length": per(len(text), len(words)), "q_words": math.log1p(len(words)), "q_distinct": per(len(set(words)), len(words)), "q_unlike": per(len(set(re.split(r"\n+", text.strip(space)))), len(lines))}
+
+
+def test_scores_equal_rules_in_plain_python(spark, odd):
+    """Statistics and the compiled rules against an evaluator of the same rules."""
+    docs = odd.select("doc_id", "text").union(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"))
+    labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
+    model = quality.train(spark.read.parquet(f"{MIDDLE}/documents.parquet"), labels, F.lit(False))
+    rows, names = quality.with_statistics(docs)
+    assert model.rules
+    for r in rows.select("text", *names, model.score().alias("score")).collect():
+        found = plain_statistics(r.text or "")
+        assert {n: r[n] for n in names} == pytest.approx(found), r.text
+        total = model.bias + sum(w for rule, w in model.rules if all(r[n] <= b if sign == "<=" else r[n] > b for n, sign, b in rule))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_samples_are_bounded(spark):
+    """One id on very many rows, and very long texts, don't pass the bounds."""
+    labels = spark.range(40).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    hot = spark.range(3000).selectExpr("cast(1 as bigint) as doc_id", "concat('text ', id) as text", "'x' as label", "'y' as _hash")
+    docs = hot.union(hot.limit(50)).union(spark.range(40).selectExpr("id", "repeat('long ', 1000)", "'x'", "'y'"))
+    got = quality.sample(docs, labels, "quality", F.lit(True), 10).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in got} == {0: 10, 1: 10}
+    few = quality.sample(docs, labels, "quality", F.lit(True), 1000, most=20_000)
+    assert few.groupBy("label").agg(F.sum(F.length("text")).alias("b")).where("b > 20000").count() == 0 and few.count() > 2
+    assert quality.sample(docs, labels, "quality", F.lit(True), 1000, most=1).count() == 2
+
+
+def plain_toxicity(model, text):
+    """The score of a text by compressing every window twice, one by one."""
+    words = text.lower().encode("utf-8", "surrogatepass").split()
+    pad = model.base[-toxicity.PAD_BYTES :]
+    sizes = lambda content, w: len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False).compress(pad + w))
+    saved = [sizes(model.base, w) - sizes(model.toxic + model.base, w) for i in range(0, len(words), 8) for w in [b" " + b" ".join(words[i : i + 8]) + b" "]]
+    top = sorted(saved, reverse=True)[:3] or [0]
+    x = [1.0, top[0], sum(top), *[math.log1p(sum(s >= k for s in saved)) for k in (1, 2, 3, 4, 5)], math.log1p(len(saved)), sum(saved) / len(saved) if saved else 0.0, float(np.median(saved)) if saved else 0.0]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+
+def test_toxicity_equals_compression_one_by_one(spark, odd):
+    rows = spark.read.parquet(f"{MIDDLE}/documents.parquet").join(spark.read.parquet(f"{MIDDLE}/labels.parquet"), "doc_id").select("text", "toxic").collect()
+    model = toxicity.fit([r.text for r in rows if r.toxic], [r.text for r in rows if not r.toxic])
+    docs = odd.where("doc_id is null or doc_id not in (103, 104)").select("doc_id", "text").union(spark.createDataFrame([(i, r.text) for i, r in enumerate(rows[:60])], "doc_id long, text string"))
+    texts = [r.text or "" for r in docs.collect()]
+    assert sorted(r.score for r in toxicity.score(docs, model).collect()) == pytest.approx(sorted(plain_toxicity(model, t) for t in texts), abs=1e-9)
+
+
 # 5. HTML
 
 

@@ -54,7 +54,6 @@ def _holds(rule: Rule) -> Column:
 
 #: Counts in the whole text, each a pattern of Java regular expressions.
 COUNTS = {
-    "words": r"[^\s]+",
     "lines": r"[^\n]+",
     "letter_runs": r"\p{L}+",
     "capital_runs": r"\p{Lu}{2,}",
@@ -63,6 +62,7 @@ COUNTS = {
     "odd_marks": r"[^\p{L}\p{N}\s.,;:'\"?!()-]+",
     "lone_marks": r"(?<=\s)[^\p{L}\p{N}\s](?=\s)",
     "sentences": r"[.?!](?=\s)",
+    "repeats": r"(?<!\S)(\S++)(?=\s+\1(?!\S))",
 }
 
 
@@ -70,12 +70,17 @@ def with_statistics(documents: DataFrame, text_col: str = "text") -> tuple[DataF
     """Add statistics of whole texts (null counts as empty); also their names.
 
     Rates are per word, so that length alone doesn't decide; all are 0 without words.
+    Beside the counts there are the shares of words and of lines that differ.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = documents.withColumns({f"_{k}": F.regexp_count(text, F.lit(p)) for k, p in COUNTS.items()} | {"_chars": F.char_length(text)})
+    parts = lambda pattern: F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), pattern)
+    rows = documents.withColumns({"_parts": parts(r"\s+"), "_unlike": F.size(F.array_distinct(parts(r"\n+")))})
+    words = F.when(F.get("_parts", F.lit(0)) == "", 0).otherwise(F.size("_parts"))
+    counts = {f"_{k}": F.regexp_count(text, F.lit(p)) for k, p in COUNTS.items()}
+    rows = rows.withColumns(counts | {"_words": words, "_distinct": F.size(F.array_distinct("_parts")), "_chars": F.char_length(text)})
     per = lambda a, b: F.when(F.col(b) == 0, F.lit(0.0)).otherwise(F.col(a) / F.col(b))
-    rates = {f"q_{k}": per(f"_{k}", "_words") for k in COUNTS if k != "words"} | {"q_length": per("_chars", "_words"), "q_words": F.log1p("_words")}
-    return rows.withColumns(rates).drop("_chars", *[f"_{k}" for k in COUNTS]), list(rates)
+    rates = {f"q_{k}": per(f"_{k}", "_words") for k in COUNTS} | {"q_length": per("_chars", "_words"), "q_words": F.log1p("_words"), "q_distinct": per("_distinct", "_words"), "q_unlike": per("_unlike", "_lines")}
+    return rows.withColumns(rates).drop("_chars", "_words", "_parts", "_distinct", "_unlike", *[f"_{k}" for k in COUNTS]), list(rates)
 
 
 def _paths(forest: str, names: list[str]) -> list[Rule]:
