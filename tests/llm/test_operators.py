@@ -482,7 +482,7 @@ def plain_fingerprint(text: str | None) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(prints: list[tuple[int, int]]) -> dict[int, int]:
+def plain_components(prints: list[tuple[int, int]], radius: int = 2) -> dict[int, int]:
     parent = {i: i for i, _ in prints}
 
     def find(x):
@@ -492,7 +492,7 @@ def plain_components(prints: list[tuple[int, int]]) -> dict[int, int]:
 
     for i, a in prints:
         for j, b in prints:
-            if (a ^ b).bit_count() <= 2:
+            if (a ^ b).bit_count() <= radius:
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     return {i: find(i) for i, _ in prints}

@@ -61,14 +61,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     return rows.withColumn("target", F.coalesce(F.least(F.col("_cap"), level * F.col("_w")), F.col("_cap"))).select("source", "source_size", "target")
 
 
-def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, with_text: bool = False) -> DataFrame:
     """How many words the mix takes of every document.
 
     Returns doc_id, size, source_size, target (its source's) and taken (the words,
     repeats counted: a multiple of the size). A null source is a source of its own,
     a null or empty text has size 0 and nothing is taken of it. Rows with equal ids
     draw by their texts, so an id on very many rows is no group of its own; equal rows
-    come in any order. Reruns give the same rows.
+    come in any order. Reruns give the same rows. An empty table gives none; other
+    columns are ignored. with_text adds the text's md5 (of a null text, of nothing).
     """
     rows = documents.select(
         F.col(id_col).alias("doc_id"),
@@ -93,4 +94,4 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rest = F.col("target") - whole * F.col("source_size")
     # A document at the edge is taken if at least half of it fits.
     more = (F.col("_words_before") + F.col("size") / 2 <= rest).cast("long")
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * (whole + more)).cast("long").alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * (whole + more)).cast("long").alias("taken"), *([F.col("_text").alias("text_md5")] if with_text else []))

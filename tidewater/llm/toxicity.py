@@ -238,7 +238,11 @@ def score(documents: DataFrame, model: Model | None, id_col: str = "doc_id", tex
 
 
 def without_toxic(documents: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, with all their columns, that score below the threshold."""
+    """The rows, with all their columns, that score below the threshold.
+
+    Null and empty texts are scored as empty; repeated rows stay or go together; without
+    a model every row stays. An empty table gives none.
+    """
     place = documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
