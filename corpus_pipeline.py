@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from tidewater.llm import mixing, pieces, quality, simhash, toxicity
 from tidewater.llm._labelled import remainder
 from tidewater.llm._ranks import text_key
-from tidewater.llm._store import stored
+from tidewater.llm._store import mark, prune, stored
+
+#: Near copies are fingerprints that differ in so many of their 64 bits at most.
+RADIUS = 3
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,7 +34,11 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that the rule ensemble, fitted on this stage's input, accepts."""
+    """Keep documents that the rule ensemble, fitted on this stage's input, accepts.
+
+    Null texts are judged as empty ones; rows with null columns, repeated rows and columns
+    of any name are kept or dropped as they are; an empty table gives none.
+    """
     model = quality.train(docs, _labels(spark, sf_dir), remainder(F.col("doc_id"), 5) == 0)
     rows, _ = quality.with_statistics(_packed(docs))
     # The mark keeps the filter above the statistics: pushed below, every rule would
@@ -41,7 +48,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that score below the threshold by compression distance."""
+    """Keep documents that score below the threshold by compression distance.
+
+    Nulls, empty texts, repeated rows and odd columns are treated as in the stage before.
+    """
     return toxicity.without_toxic(docs, toxicity.train(docs, _labels(spark, sf_dir), remainder(F.col("doc_id"), 3) == 1))
 
 
@@ -49,9 +59,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep exactly one row of every group of near copies: the one with the least id.
 
     Rows without an id come last in their group. Texts that aren't near copies all stay,
-    also with one id; of rows with equal id and text any one stays.
+    also with one id; of rows with equal id and text any one stays. Null and empty texts
+    are copies of each other; an empty table gives none.
     """
-    kept = stored(simhash.representatives(docs))
+    kept = stored(simhash.representatives(docs, radius=RADIUS))
     rows = _packed(docs).withColumns(simhash.text_hashes())
     keys = ["id", "hash", "check"]
 
@@ -65,22 +76,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; what it doesn't take goes."""
+    """Every document as often as the mix takes it; what it doesn't take goes.
+
+    Texts without words, null ones too, are never taken. Rows with equal ids are told
+    apart by their texts; an empty table gives none.
+    """
     times = (F.col("taken") / F.col("size")).cast("long").alias("times")
-    taken = mixing.mix(docs).where("taken > 0").select(text_key(F.col("doc_id")).alias("key"), F.col("size").alias("words"), times)
-    picked = stored(taken.groupBy("key", "words").agg(F.sum("times").alias("times"), F.count("*").alias("alike")))
-    sized = _packed(docs).withColumn("key", text_key(F.col("doc_id"))).withColumn("words", mixing.words(F.col("text")))
-    # Rows of equal id and size share their copies evenly, the first ones get the odd
+    taken = mixing.mix(docs, with_text=True).where("taken > 0").select(text_key(F.col("doc_id")).alias("key"), "text_md5", times)
+    picked = stored(taken.groupBy("key", "text_md5").agg(F.sum("times").alias("times"), F.count("*").alias("alike")))
+    keyed = _packed(docs).withColumn("key", text_key(F.col("doc_id"))).withColumn("text_md5", F.md5(F.col("text").cast("binary")))
+    # Rows of equal id and text share their copies evenly, the first ones get the odd
     # ones. The window has the join's keys, so texts are shuffled once.
-    rows = sized.join(picked, ["key", "words"])
-    one = F.row_number().over(Window.partitionBy("key", "words").orderBy(F.xxhash64("text")))
+    rows = keyed.join(picked, ["key", "text_md5"])
+    one = F.row_number().over(Window.partitionBy("key", "text_md5").orderBy(F.lit(1)))
     copies = F.floor(F.col("times") / F.col("alike")) + (one <= F.col("times") % F.col("alike")).cast("long")
     rows = rows.withColumn("copies", copies.cast("int")).where("copies > 0")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text of every row."""
+    """doc_id, n_tokens and the digests of ids and decoded text of every row.
+
+    A null text is encoded as an empty one; repeated rows give equal rows.
+    """
     return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -97,10 +115,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; each but the last is written and read again."""
+    """Apply all stages to documents; each but the last is written and read again.
+
+    Once a stage is written, what it stored on its way and its input are removed.
+    """
+    begin = mark()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = stored(docs)
+            prune(spark, begin)
     return docs
