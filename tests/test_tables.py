@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from tidewater.functions import types
-from tidewater.functions.errors import InvalidValue, NotSupported, QueryError, TableNotFound
+from tidewater.functions.errors import InvalidValue, MissingParameter, NotSupported, QueryError, TableNotFound
 from tidewater.operators import portability, result, service, sqltext, tables
-from tidewater.sources import catalog
+from tidewater.operators.engine import Engine
+from tidewater.sources import catalog, rewrite
+from tidewater.sources.model import Column, Table, changed_properties, schema_to_drop_sql
 
 
 @pytest.fixture
@@ -38,6 +40,94 @@ def test_insert_update_delete(spark, write_table):
     assert tables.delete(spark, write_table, {}, everything=True) == 3 and rows(spark, write_table) == []
 
 
+@pytest.mark.parametrize("layout", ["", "PARTITIONED BY (p)", "CLUSTERED BY (x) INTO 2 BUCKETS"])
+def test_changes_keep_the_layout(spark, layout):
+    """Provider, partitioning, buckets, comments and properties survive; no row is lost."""
+    spark.sql("DROP TABLE IF EXISTS kept")
+    spark.sql(f"CREATE TABLE kept (x int COMMENT 'the x', s string, p string) USING orc {layout} COMMENT 'all of it' TBLPROPERTIES ('keeper' = 'me')")
+    spark.sql("INSERT INTO kept VALUES (1, 'a', 'north'), (2, 'b', 'south'), (3, NULL, NULL), (4, 'd', 'north')")
+    before, fields = rewrite.layout(spark, "kept"), spark.table("kept").schema
+    assert tables.change(spark, "kept", {"s": "concat(s, '!')", "x": "x + 10"}, "p = 'north'") == 2
+    assert tables.update(spark, "kept", {"s": "none"}, {"p": None}) == 1
+    assert tables.delete(spark, "kept", {"p": "south"}) == 1 and tables.delete(spark, "kept", {"p": "west"}) == 0
+    assert rows(spark, "kept") == [(11, "a!", "north"), (14, "d!", "north"), (3, "none", None)]
+    assert tables.change(spark, "kept", {"p": "'east'"}, "x > 10") == 2 and tables.insert(spark, "kept", {"x": 5, "p": "north"}) == 1
+    assert sorted(r.p or "" for r in spark.table("kept").collect()) == ["", "east", "east", "north"]
+    after = rewrite.layout(spark, "kept")
+    assert (after.provider, after.comment, after.partitions, after.bucketed, after.properties) == (before.provider, before.comment, before.partitions, before.bucketed, before.properties)
+    assert spark.table("kept").schema == fields
+    spark.sql("DROP TABLE kept")
+
+
+def test_alter_keeps_the_layout_and_settles(spark):
+    for name in ("changed", "changed__new", "changed__old"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql("CREATE TABLE changed (x int COMMENT 'the x', p string) USING orc PARTITIONED BY (p) COMMENT 'all' TBLPROPERTIES ('keeper' = 'me')")
+    spark.sql("INSERT INTO changed VALUES (1, 'a'), (2, 'b')")
+    new = StructType([StructField("x", LongType(), False, {"comment": "longer"}), StructField("p", StringType())])
+    assert catalog.alter(spark, "changed", new) and not catalog.alter(spark, "changed", new)
+    of = rewrite.layout(spark, "changed")
+    assert (of.provider, of.comment, of.partitions, of.properties["keeper"]) == ("orc", "all", ("p",), "me") and rows(spark, "changed") == [(1, "a"), (2, "b")]
+    assert [b.name for _, b in catalog.alter(spark, "changed", StructType([StructField("x", LongType(), True, {"comment": "other"}), StructField("p", StringType())])).changed] == ["x"]
+    assert spark.table("changed").schema["x"].metadata["comment"] == "other"
+    # Broken off between its two renames, the change is finished by the next one.
+    spark.sql("CREATE TABLE changed__new USING parquet AS SELECT 7L AS x, 'c' AS p")
+    spark.sql("ALTER TABLE changed RENAME TO changed__old")
+    assert tables.update(spark, "changed", {"x": 8}, {"x": 7}) == 1 and rows(spark, "changed") == [(8, "c")] and not catalog.exists(spark, "changed__old")
+    spark.sql("DROP TABLE changed")
+
+
+def test_model_and_ddl(spark):
+    table = Table("modelled", comment="m").add(Column("id", "bigint", nullable=False), Column("price", "decimal", precision=8, scale=3, comment="net"), Column("code", "string", length=4, fixed=True), Column("day", "date", default="current_date()"))
+    assert table.to_sql() == "CREATE TABLE modelled (`id` bigint NOT NULL, `price` decimal(8,3) COMMENT 'net', `code` char(4), `day` date DEFAULT current_date()) USING parquet COMMENT 'm'"
+    catalog.drop_tables(spark, "modelled", "renamed", missing_ok=True)
+    catalog.create_tables(spark, table)
+    found = catalog.introspect(spark, "modelled")
+    assert (found.column("price").precision, found.column("price").scale, found.column("price").comment, found.column("code").length, found.column("code").fixed, found.column("day").default) == (8, 3, "net", 4, True, "current_date()")
+    assert changed_properties(table.column("price"), found.column("price")) == [] and changed_properties(Column("a", "integer", precision=3), Column("a", "integer")) == []
+    assert changed_properties(table.column("code"), table.modify("code", length=5, fixed=False).column("code")) == ["length", "fixed"]
+    assert [c.name for c in table.drop("code").rename("day", "when").columns] == ["id", "price", "when"] and schema_to_drop_sql([table, Table("b")]) == ["DROP TABLE b", "DROP TABLE modelled"]
+    for wrong in (lambda: table.column("no"), lambda: table.add(Column("ID")), lambda: Table("e").to_sql()):
+        with pytest.raises(QueryError):
+            wrong()
+    catalog.comment_on_table(spark, "modelled", "it's new")
+    catalog.rename_table(spark, "modelled", "renamed")
+    assert rewrite.layout(spark, "renamed").comment == "it's new"
+    Engine(spark).execute_statement("INSERT INTO renamed (id, code) VALUES (?, ?)", [1, "ab"])
+    assert spark.table("renamed").first().day is not None
+    catalog.truncate(spark, "renamed")
+    assert spark.table("renamed").count() == 0
+    diff = catalog.migrate(spark, [Table("renamed").add(Column("id", "bigint")), Table("fresh").add(Column("a"))])
+    assert diff.created == ["fresh"] and spark.table("renamed").columns == ["id"] and catalog.exists(spark, "fresh")
+    catalog.create_schema(spark, "other")
+    assert "other" in catalog.list_schemas(spark)
+    catalog.drop_schema(spark, "other")
+    catalog.create_view(spark, "seen", "SELECT 1 AS a")
+    assert "seen" in catalog.list_views(spark)
+    catalog.drop_view(spark, "seen")
+    catalog.create_temporary_table(spark, "short", spark.range(3))
+    assert spark.table("short").count() == 3
+    catalog.drop_tables(spark, "renamed", "fresh")
+
+
+def test_engine(spark, write_table):
+    engine = Engine(spark)
+    assert engine.fetch_one("SELECT count(*) FROM write_table WHERE test_int IN (:some)", {"some": [1, 3]}) == 2
+    statement = engine.prepare("SELECT test_string FROM write_table WHERE test_int = ?")
+    assert [statement.bind_value(1, i).execute_query().first()[0] for i in (1, 2)] == ["foo", "bar"]
+    assert engine.prepare("SELECT :a AS x").bind_value(":a", 4).execute_query().first()[0] == 4
+    for wrong in (lambda: engine.prepare("?").bind_value(0, 1), lambda: engine.prepare("SELECT ?, ?").bind_value(2, 1).execute_query()):
+        with pytest.raises(MissingParameter):
+            wrong()
+    q = engine.query_builder().select("test_int", "test_string").from_(write_table).where("test_int < 3").order_by("test_int")
+    assert q.fetch_all_key_value() == {"1": "foo", "2": "bar"} and q.fetch_first_column() == [1, 2] and list(q.iterate_numeric()) == [(1, "foo"), (2, "bar")]
+    assert engine.query_builder().insert_with(write_table, {"test_int": 9, "test_string": "it's"}).execute_statement() == 1
+    assert engine.query_builder().update_with(write_table, {"test_string": "x"}).where("test_int = ?").set_parameters(["x", 9]).execute_statement() == 1
+    assert engine.execute_statement(engine.query_builder().delete(write_table).where("test_string IS NULL")) == 1
+    assert engine.insert(write_table, {"test_int": 5}) + engine.update(write_table, {"test_int": 6}, {"test_int": 5}) + engine.delete(write_table, {"test_int": 6}) == 3
+    assert rows(spark, write_table) == [(1, "foo"), (2, "bar"), (9, "x")]
+
+
 def test_what_spark_has_not_raises():
     for missing in (tables.transaction, tables.last_insert_id, catalog.create_sequence, catalog.create_index):
         with pytest.raises(NotSupported):
@@ -45,7 +135,7 @@ def test_what_spark_has_not_raises():
 
 
 def test_catalogue(spark, write_table):
-    assert write_table in catalog.list_tables(spark) and catalog.exists(spark, "WRITE_TABLE") and "default" in catalog.list_databases(spark)
+    assert write_table in catalog.list_tables(spark) and catalog.exists(spark, "WRITE_TABLE") and "default" in catalog.list_schemas(spark)
     assert [(r.name, r.logical) for r in catalog.describe(spark, write_table).orderBy("position").collect()] == [("test_int", "integer"), ("test_string", "string")]
     with pytest.raises(TableNotFound):
         catalog.describe(spark, "nowhere")
@@ -114,13 +204,19 @@ def test_types(spark):
 
 def test_service(spark, write_table):
     found = service.execute(spark, "SELECT id FROM range(10) ORDER BY id", max_rows=3)
-    assert found == {"columns": ["id"], "rows": [{"id": 0}, {"id": 1}, {"id": 2}], "truncated": True}
+    assert found.pop("duration_ms") > 0
+    assert found == {"columns": ["id"], "rows": [{"id": 0}, {"id": 1}, {"id": 2}], "row_count": 4, "returned_row_count": 3, "truncated": True}
     assert service.execute(spark, "SELECT test_int FROM write_table WHERE test_int IN (?)", [[1, 9]])["rows"] == [{"test_int": 1}]
     assert service.to_json({"a": 2**60, "b": b"x", "c": float("inf"), "d": Decimal("1.0"), "e": [datetime(2020, 1, 1)]}) == {"a": str(2**60), "b": {"$binary": True, "base64": "eA=="}, "c": "inf", "d": "1.0", "e": ["2020-01-01T00:00:00"]}
     assert service.redact("pg://me:secret@host/x?password=abc") == "pg://***@host/x?password=***"
     assert "write_table" in service.tables(spark) and service.describe(spark, write_table)[0]["name"] == "test_int" and service.info(spark)["engine"] == "spark"
     with pytest.raises(QueryError):
         service.execute(spark, "SELECT x FROM nowhere")
+    assert service.schemas(spark) and service.info(spark)["schema"] == "default"
+    hidden = service.redact("password: x1 pwd='x2' {\"token\": \"x3\"} Authorization: Bearer x4.y key=kept", ("kept",))
+    assert not any(f"x{i}" in hidden for i in range(1, 5)) and "kept" not in hidden
+    with pytest.raises(QueryError, match=r"^(?!.*s3cret)"):
+        service.execute(spark, "SELECT raise_error('s3cret')", secrets=("s3cret",))
 
 
 def test_sql_text(spark):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date, datetime, time
+from decimal import Decimal
 
 from tidewater.functions.errors import NotSupported
 
@@ -167,12 +169,39 @@ def current_date() -> str:
 
 
 def current_time() -> str:
-    return "date_format(current_timestamp(), 'HH:mm:ss')"
+    """The time of day, of Spark's type TIME."""
+    return "current_time()"
 
 
 def current_timestamp() -> str:
     return "current_timestamp()"
 
 
-def current_database() -> str:
-    return "current_database()"
+def current_schema() -> str:
+    return "current_schema()"
+
+
+def dummy_select(expression: str = "1") -> str:
+    """A statement of one row without a table."""
+    return f"SELECT {expression}"
+
+
+def literal(value: object) -> str:
+    """A value as SQL text: null, boolean, number, bytes, date, time, timestamp or string."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, (int, Decimal)):
+        return f"{value}BD" if isinstance(value, Decimal) else str(value)
+    if isinstance(value, float):
+        return f"double('{value!r}')"
+    if isinstance(value, (bytes, bytearray)):
+        return f"X'{bytes(value).hex().upper()}'"
+    if isinstance(value, datetime):
+        return f"{'TIMESTAMP_NTZ' if value.tzinfo is None else 'TIMESTAMP'} '{value.isoformat(sep=' ')}'"
+    if isinstance(value, date):
+        return f"DATE '{value.isoformat()}'"
+    if isinstance(value, time):
+        return f"TIME '{value.isoformat()}'"
+    return quote_string(str(value))

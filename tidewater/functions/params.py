@@ -29,12 +29,21 @@ def compile_sql(sql: str, params: Params = (), types: Types = ()) -> tuple[str,
 
     A list, tuple or set gives one placeholder per element, an empty one NULL, so that
     `NOT IN (:none)` matches no row. `??` is a plain question mark. types are names of
-    logical types that convert the values first. Missing parameters raise.
+    logical types that convert the values first. Missing parameters raise. Made-up names
+    stand neither in the text nor among the parameters.
     """
     args: dict[str, Any] = {}
     named = isinstance(params, Mapping)
+    taken = {m["name"] for m in _TOKEN.finditer(sql) if m["name"]} | (set(params) if named else set())
+    lists: dict[int | str, list[str]] = {}
     asked = 0
 
+    def fresh(name: str) -> str:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        return name
+
     def kind(key: int | str) -> str | None:
         if isinstance(types, Mapping):
             return types.get(key)
@@ -46,7 +55,8 @@ def compile_sql(sql: str, params: Params = (), types: Types = ()) -> tuple[str,
         except (KeyError, IndexError, TypeError):
             raise MissingParameter(f"no value for parameter {key}") from None
         if isinstance(value, (list, tuple, set, frozenset)) and kind(key) != "simple_array":
-            names = [f"{name}_{i}" for i in range(1, len(value) + 1)]
+            # A list that is asked for again keeps its names.
+            names = lists[key] if key in lists else lists.setdefault(key, [fresh(f"{name}_{i}") for i in range(1, len(value) + 1)])
             args.update(zip(names, (bound(v, kind(key)) for v in value), strict=True))
             return ", ".join(f":{n}" for n in names) or "NULL"
         args[name] = bound(value, kind(key))
@@ -58,7 +68,7 @@ def compile_sql(sql: str, params: Params = (), types: Types = ()) -> tuple[str,
             if named:
                 raise MissingParameter("a ? needs positional parameters")
             asked += 1
-            return place(asked - 1, f"p{asked}")
+            return place(asked - 1, fresh(f"p{asked}"))
         if found["name"]:
             if not named:
                 raise MissingParameter(f"no value for parameter {found['name']}")

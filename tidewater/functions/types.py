@@ -127,6 +127,19 @@ def logical_name(spark_type: str) -> str:
     return LOGICAL_NAMES[head]
 
 
+def spark_type(name: str, length: int | None = None, precision: int | None = None, scale: int | None = None, fixed: bool = False) -> str:
+    """The Spark type of a logical type with its length, precision and scale.
+
+    Strings with a length become varchar or, fixed, char; binary has no length in Spark.
+    """
+    kind = get_type(name).spark
+    if kind.startswith("decimal"):
+        return f"decimal({precision or 10},{scale or 0})"
+    if name in ("string", "ascii_string") and length:
+        return f"{'char' if fixed else 'varchar'}({length})"
+    return kind
+
+
 def bound(value: Any, name: str | None) -> Any:
     """The value to bind for a logical type; None stays None."""
     return value if value is None or name is None else get_type(name).encode(value)

@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.functions.errors import NotSupported, QueryError, converted
 from tidewater.functions.exprs import Composite, and_, or_
 from tidewater.functions.params import compile_sql
+from tidewater.operators import tables
+
+#: Stands between expressions that are bound together.
+_CUT = " /* ; */ "
 
 
 @dataclass(frozen=True)
@@ -58,6 +62,106 @@ class QueryBuilder:
         self._named: dict[str, Any] = {}
         self._types: dict[int | str, str] = {}
         self._made = 0
+        self._change: tuple[str, str] | None = None
+        self._set: dict[str, str] = {}
+        self._source: str | None = None
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return tuple(self._columns)
+
+    @property
+    def is_distinct(self) -> bool:
+        return self._distinct
+
+    @property
+    def sources(self) -> tuple[tuple[str, str | None], ...]:
+        return tuple(self._from)
+
+    @property
+    def joins(self) -> tuple[tuple[str, Join], ...]:
+        """(alias joined from, join) in the order they were added to each alias."""
+        return tuple((alias, j) for alias, some in self._joins.items() for j in some)
+
+    @property
+    def predicate(self) -> str | None:
+        return None if self._where is None else str(self._where)
+
+    @property
+    def group_predicate(self) -> str | None:
+        return None if self._having is None else str(self._having)
+
+    @property
+    def group_keys(self) -> tuple[str, ...]:
+        return tuple(self._group)
+
+    @property
+    def order_keys(self) -> tuple[str, ...]:
+        return tuple(self._order)
+
+    @property
+    def limits(self) -> tuple[int | None, int]:
+        """Most rows (None: all) and the first row."""
+        return self._limit, self._offset
+
+    @property
+    def union_parts(self) -> tuple[tuple[str, str], ...]:
+        """(how the part is added, the part)"""
+        return tuple(self._parts)
+
+    @property
+    def change(self) -> tuple[str, str] | None:
+        """(INSERT, UPDATE or DELETE, table), or None for a select or a union."""
+        return self._change
+
+    @property
+    def assignments(self) -> dict[str, str]:
+        """Columns and the expressions that an insert or update gives them."""
+        return dict(self._set)
+
+    def _changes(self, kind: str, table: str) -> QueryBuilder:
+        self._change = (kind, table)
+        return self
+
+    def insert(self, table: str) -> QueryBuilder:
+        return self._changes("INSERT", table)
+
+    def update(self, table: str) -> QueryBuilder:
+        return self._changes("UPDATE", table)
+
+    def delete(self, table: str) -> QueryBuilder:
+        return self._changes("DELETE", table)
+
+    def values(self, values: dict[str, str]) -> QueryBuilder:
+        """The columns of an insert or update and their expressions, instead of those so far."""
+        self._set = dict(values)
+        return self
+
+    def set(self, column: str, value: str) -> QueryBuilder:
+        self._set[column] = value
+        return self
+
+    set_value = set
+
+    def _with_data(self, kind: str, table: str, data: dict[str, Any], named: bool) -> QueryBuilder:
+        if not data:
+            raise QueryError(f"an {kind.lower()} needs values")
+        self._changes(kind, table)
+        for column, value in data.items():
+            self.set(column, self.create_named_parameter(value, name=column) if named else self.create_positional_parameter(value))
+        return self
+
+    def insert_with(self, table: str, data: dict[str, Any], named: bool = False) -> QueryBuilder:
+        """An insert of one row whose values are bound, by position or by their column's name."""
+        return self._with_data("INSERT", table, data, named)
+
+    def update_with(self, table: str, data: dict[str, Any], named: bool = False) -> QueryBuilder:
+        return self._with_data("UPDATE", table, data, named)
+
+    def insert_from(self, table: str, columns: tuple[str, ...], part: object) -> QueryBuilder:
+        """An insert of all rows of a query."""
+        self._set, self._source = dict.fromkeys(columns, ""), str(part)
+        return self._changes("INSERT", table)
 
     def sub(self) -> QueryBuilder:
         """A fresh builder; its parameters have to be created on this one."""
@@ -212,6 +316,8 @@ class QueryBuilder:
     def create_named_parameter(self, value: Any, kind: str | None = None, name: str | None = None) -> str:
         if name is None:
             self._made += 1
+            while f"value{self._made}" in self._named:
+                self._made += 1
             name = f"value{self._made}"
         self.set_parameter(name.lstrip(":"), value, kind)
         return f":{name.lstrip(':')}"
@@ -242,8 +348,20 @@ class QueryBuilder:
         text += f" LIMIT {self._limit}" if self._limit is not None else ""
         return text + (f" OFFSET {self._offset}" if self._offset else "")
 
+    def _change_sql(self, kind: str, table: str) -> str:
+        where = f" WHERE {self._where}" if self._where else ""
+        if kind == "DELETE":
+            return f"DELETE FROM {table}{where}"
+        if not self._set:
+            raise QueryError(f"an {kind.lower()} needs values")
+        if kind == "UPDATE":
+            return f"UPDATE {table} SET " + ", ".join(f"{c} = {v}" for c, v in self._set.items()) + where
+        return f"INSERT INTO {table} ({', '.join(self._set)}) " + (self._source or f"VALUES ({', '.join(self._set.values())})")
+
     def to_sql(self) -> str:
         """The statement with its placeholders as they were written."""
+        if self._change:
+            return self._change_sql(*self._change)
         head = ", ".join(f"{name}{' (' + ', '.join(columns) + ')' if columns else ''} AS ({part})" for name, part, columns in self._ctes)
         head = f"WITH {head} " if head else ""
         if self._is_union:
@@ -251,7 +369,7 @@ class QueryBuilder:
                 raise QueryError("a union has two parts at least")
             return head + " ".join(f"{kind} ({part})".lstrip() for kind, part in self._parts) + self._tail()
         if not self._columns:
-            raise QueryError("No SELECT expressions given")
+            raise QueryError("the query selects no columns")
         self._check_aliases()
         text = f"{head}SELECT {'DISTINCT ' if self._distinct else ''}{', '.join(self._columns)}"
         if self._from:
@@ -264,6 +382,29 @@ class QueryBuilder:
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         """The lazy result, with all values bound by name."""
+        if self._change:
+            raise QueryError("a change has no rows; run it with apply()")
         text, args = compile_sql(self.to_sql(), self._named or self._positional, self._types)
         with converted():
             return spark.sql(text, args=args)
+
+    def apply(self, spark: SparkSession) -> int:
+        """Run an insert, update or delete; how many rows it has changed.
+
+        Without a predicate an update or delete takes all rows.
+        """
+        if self._change is None:
+            raise QueryError("only an insert, update or delete is applied")
+        kind, table = self._change
+        self.to_sql()
+        given: Any = self._named or self._positional
+        if kind == "INSERT":
+            text, args = compile_sql(self._source or f"VALUES ({', '.join(self._set.values())})", given, self._types)
+            with converted():
+                return tables.insert_query(spark, table, list(self._set), spark.sql(text, args=args))
+        # The values stand in the order of the whole text, so it is cut after they are bound.
+        parts = [*(self._set.values() if kind == "UPDATE" else ()), *([str(self._where)] if self._where else [])]
+        text, args = compile_sql(_CUT.join(parts), given, self._types)
+        bound = text.split(_CUT) if parts else []
+        where = bound.pop() if self._where else "true"
+        return tables.change(spark, table, dict(zip(self._set, bound, strict=True)) if kind == "UPDATE" else None, where, args)

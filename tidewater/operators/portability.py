@@ -1,4 +1,4 @@
-"""Normalisation of results that come from different databases, as column expressions."""
+"""Normalisation of results that come from different stores, as column expressions."""
 
 from __future__ import annotations
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import math
 import re
+import time
 from datetime import date, datetime
 from decimal import Decimal
 from typing import Any
@@ -18,12 +19,17 @@ from tidewater.sources import catalog
 
 DEFAULT_ROWS, MOST_ROWS = 200, 1_000
 _SAFE = 2**53 - 1
-_SECRET = re.compile(r"(?<=://)[^/@\s]+(?=@)|(?<=password=)[^\s&;]+|(?<=token=)[^\s&;]+", re.IGNORECASE)
+#: Credentials in urls; values of settings that name a secret, bare or quoted; bearer tokens.
+_URL = re.compile(r"(?<=://)[^/@\s]+(?=@)")
+_SETTING = re.compile(r"""((?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)["']?\s*[=:]\s*)("[^"]*"|'[^']*'|[^\s&;,"']+)""", re.IGNORECASE)
+_BEARER = re.compile(r"(bearer\s+)[\w.~+/-]+=*", re.IGNORECASE)
 
 
-def redact(text: str) -> str:
-    """The text without credentials in urls and settings."""
-    return _SECRET.sub("***", text)
+def redact(text: str, secrets: tuple[str, ...] = ()) -> str:
+    """The text without the given secrets, longest first, and credentials in urls and settings."""
+    for secret in sorted(filter(None, secrets), key=len, reverse=True):
+        text = text.replace(secret, "***")
+    return _BEARER.sub(r"\1***", _SETTING.sub(r"\1***", _URL.sub("***", text)))
 
 
 def to_json(value: Any) -> Any:
@@ -45,21 +51,34 @@ def to_json(value: Any) -> Any:
     return str(value) if isinstance(value, Decimal) else str(value)
 
 
-def execute(spark: SparkSession, sql: str, params: Params = (), max_rows: int = DEFAULT_ROWS) -> dict[str, Any]:
-    """Rows up to the cap and whether there were more; one row over the cap is computed."""
-    cap = max(1, min(MOST_ROWS, max_rows))
+def execute(spark: SparkSession, sql: str, params: Params = (), max_rows: int = DEFAULT_ROWS, secrets: tuple[str, ...] = ()) -> dict[str, Any]:
+    """Rows up to the cap and whether there were more; one row over the cap is computed.
+
+    row_count is the number of rows seen, the cap and one at most: counting the rest
+    would run all of the query. Errors of any kind are raised without secrets.
+    """
+    cap, began = max(1, min(MOST_ROWS, max_rows)), time.perf_counter()
     try:
         text, args = compile_sql(sql, params)
         with converted():
             df = spark.sql(text, args=args)
             rows = result.fetch_all_associative(df.limit(cap + 1))
     except QueryError as error:
-        raise type(error)(redact(str(error))) from None
-    return {"columns": df.columns, "rows": [to_json(r) for r in rows[:cap]], "truncated": len(rows) > cap}
+        raise type(error)(redact(str(error), secrets)) from None
+    except Exception as error:
+        raise QueryError(redact(str(error).strip() or "unknown error", secrets)) from None
+    return {
+        "columns": df.columns,
+        "rows": [to_json(r) for r in rows[:cap]],
+        "row_count": len(rows),
+        "returned_row_count": min(len(rows), cap),
+        "truncated": len(rows) > cap,
+        "duration_ms": round((time.perf_counter() - began) * 1000, 3),
+    }
 
 
 def info(spark: SparkSession) -> dict[str, str]:
-    return {"engine": "spark", "version": spark.version, "database": spark.catalog.currentDatabase()}
+    return {"engine": "spark", "version": spark.version, "schema": spark.sql("SELECT current_schema()").first()[0]}
 
 
 def tables(spark: SparkSession) -> list[str]:
@@ -70,8 +89,8 @@ def views(spark: SparkSession) -> list[str]:
     return catalog.list_views(spark)
 
 
-def databases(spark: SparkSession) -> list[str]:
-    return catalog.list_databases(spark)
+def schemas(spark: SparkSession) -> list[str]:
+    return catalog.list_schemas(spark)
 
 
 def describe(spark: SparkSession, table: str) -> list[dict[str, Any]]:

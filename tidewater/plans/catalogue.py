@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.plans import relational  # noqa: F401  registers its queries
+from tidewater.plans import changes, relational  # noqa: F401  they register their queries
 from tidewater.plans.registry import Query, oracle_sql, queries
 
 __all__ = ["Query", "oracle_sql", "queries"]

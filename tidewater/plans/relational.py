@@ -265,12 +265,12 @@ def not_in_empty_list() -> QueryBuilder:
 @built(
     "like_escape",
     "part",
-    r"SELECT p_partkey FROM part WHERE (CASE WHEN p_partkey % 3 = 0 THEN '_25% off_ ' || p_name ELSE p_name END) LIKE '!_25!% off!_%' ESCAPE '!' AND p_type NOT LIKE '%TIN'",
+    r"SELECT p_partkey FROM part WHERE (CASE WHEN p_partkey % 3 = 0 THEN '50%_more: ' || p_name ELSE p_name END) LIKE '50#%#_more%' ESCAPE '#' AND p_type NOT LIKE '%TIN'",
 )
 def like_escape() -> QueryBuilder:
     q = QueryBuilder().select("p_partkey").from_("part")
-    pattern = q.create_named_parameter(e.escape_like("_25% off_", "!") + "%")
-    q.where(e.like("CASE WHEN p_partkey % 3 = 0 THEN concat('_25% off_ ', p_name) ELSE p_name END", pattern, "!"))
+    pattern = q.create_named_parameter(e.escape_like("50%_more", "#") + "%")
+    q.where(e.like("CASE WHEN p_partkey % 3 = 0 THEN concat('50%_more: ', p_name) ELSE p_name END", pattern, "#"))
     return q.and_where(e.not_like("p_type", q.create_named_parameter("%TIN")))
 
 
@@ -297,12 +297,12 @@ def trim_modes() -> QueryBuilder:
     "string_functions",
     "part",
     """SELECT p_partkey, instr(p_name, 'a') AS at, CASE WHEN instr(p_name[4:], 'a') = 0 THEN 0 ELSE instr(p_name[4:], 'a') + 3 END AS later, substr(p_name, 3) AS rest,
-substr(p_name, 2, 4) AS part, p_brand || '-' || p_size AS label, length('Привет, ' || p_brand || '💩') AS n FROM part""",
+substr(p_name, 2, 4) AS part, p_brand || '-' || p_size AS label, length('Größe ' || p_brand || '🌊') AS n FROM part""",
 )
 def string_functions() -> QueryBuilder:
     q = QueryBuilder().select("p_partkey", f"{e.locate('p_name', ':a')} AS at", f"{e.locate('p_name', ':a', '1 + 3')} AS later", f"{e.substring('p_name', 3)} AS rest")
     q.add_select(f"{e.substring('p_name', '1 + 1', '2 + 2')} AS part", f"{e.concat('p_brand', ':dash', 'p_size')} AS label", f"{e.length(e.concat(':hello', 'p_brand', ':last'))} AS n")
-    return q.from_("part").set_parameters({"a": "a", "dash": "-", "hello": "Привет, ", "last": "💩"})
+    return q.from_("part").set_parameters({"a": "a", "dash": "-", "hello": "Größe ", "last": "🌊"})
 
 
 @built("mod_bit", "part", "SELECT p_partkey, p_size % 7 AS m, -p_size % 7 AS neg, p_size & 6 AS band, p_size | 9 AS bor FROM part")
@@ -310,11 +310,11 @@ def mod_bit() -> QueryBuilder:
     return QueryBuilder().select("p_partkey", f"{e.mod('p_size', '7')} AS m", f"{e.mod('-p_size', '7')} AS neg", f"{e.bit_and('p_size', '6')} AS band", f"{e.bit_or('p_size', '9')} AS bor").from_("part")
 
 
-_STEPS = {"SECOND": 1, "MINUTE": 5, "HOUR": 3, "DAY": 10, "WEEK": 1, "MONTH": 2, "QUARTER": 3, "YEAR": 6}
+_STEPS = {"SECOND": 90, "MINUTE": 44, "HOUR": 31, "DAY": 17, "WEEK": 5, "MONTH": 7, "QUARTER": 2, "YEAR": 4}
 
 
 def _moved(sign: str) -> str:
-    step = {"QUARTER": ("MONTH", 9), "WEEK": ("DAY", 7)}
+    step = {"QUARTER": ("MONTH", 3 * _STEPS["QUARTER"]), "WEEK": ("DAY", 7 * _STEPS["WEEK"])}
     columns = ", ".join(f"o_orderdate {sign} INTERVAL {n} {u} AS {unit.lower()}_moved" for unit, amount in _STEPS.items() for u, n in [step.get(unit, (unit, amount))])
     return f"SELECT o_orderkey, {columns} FROM orders"
 
@@ -410,31 +410,14 @@ def simple_array_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", get_type("simple_array").decode(stored).alias("tags"))
 
 
-@register(
-    "type_codecs",
-    """SELECT o_orderkey, o_orderdate::DATE AS day, o_orderdate AS moment, o_orderkey % 2 = 1 AS odd, CAST(o_totalprice AS DECIMAL(12,2))::VARCHAR AS price, o_orderkey::SMALLINT AS small
-FROM orders WHERE o_orderkey < 30000""",
-)
-def type_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalog.read(spark, "parquet", f"{sf_dir}/orders.parquet").where("o_orderkey < 30000")
-    text = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
-    return rows.select(
-        "o_orderkey",
-        get_type("date").decode(F.substring(text, 1, 10)).alias("day"),
-        get_type("datetime").decode(text).alias("moment"),
-        get_type("boolean").decode((F.col("o_orderkey") % 2).cast("int")).alias("odd"),
-        get_type("decimal").decode(F.col("o_totalprice").cast("decimal(12,2)")).alias("price"),
-        get_type("smallint").decode(F.col("o_orderkey").cast("string")).alias("small"),
-    )
+_CODECS = """SELECT o_orderkey, o_orderdate::DATE AS day, o_orderdate AS moment, o_orderkey % 2 = 1 AS odd, CAST(o_totalprice AS DECIMAL(12,2))::VARCHAR AS price, (o_orderkey % 30000)::SMALLINT AS small
+FROM orders"""
 
 
-@register(
-    "type_codecs_all",
-    """SELECT o_orderkey, o_orderdate::DATE AS day, o_orderdate AS moment, o_orderkey % 2 = 1 AS odd, CAST(o_totalprice AS DECIMAL(12,2))::VARCHAR AS price, (o_orderkey % 30000)::SMALLINT AS small
-FROM orders""",
-)
-def type_codecs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders through every codec of type_codecs; the smallint is a remainder that fits."""
+@register("type_codecs", _CODECS)
+@register("type_codecs_all", _CODECS)
+def type_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders through the codecs; the smallint is a remainder that fits."""
     rows = catalog.read(spark, "parquet", f"{sf_dir}/orders.parquet")
     text = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
     return rows.select(
