@@ -609,6 +609,18 @@ def test_next_rows_across_ranges(spark, odd):
     assert one.edited_text == "abab"
 
 
+def test_next_rows_in_many_ranges(spark, monkeypatch):
+    """Cuts, parts of them, and very many rows without an id, in ranges of a few rows."""
+    for name, value in {"ROWS_PER_RANGE": 7, "MOST_CUTS": 5, "MOST_PARTS": 9}.items():
+        monkeypatch.setattr(winnowing, name, value)
+    docs = spark.range(0, 400).selectExpr("cast(id * id - 500 as bigint) as doc_id", "cast(id as string) as text")
+    docs = docs.union(spark.range(0, 300).selectExpr("cast(null as bigint)", "concat('n', id)"))
+    hashed = {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in (f"n{i}" for i in range(300))}
+    order = [str(i) for i in range(400)] + sorted(hashed, key=lambda t: hashed[t] - (1 << 64) * (hashed[t] >> 63))
+    got = {r.text: r.next_text for r in winnowing.with_next(docs, "doc_id", ["text"]).collect()}
+    assert got == {t: order[(i + 1) % 700] for i, t in enumerate(sorted(order[:400], key=lambda t: int(t) ** 2) + order[400:])}
+
+
 # 8. Mixing
 
 

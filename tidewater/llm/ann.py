@@ -142,8 +142,8 @@ def search(
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     rows = rows.where(F.size("vector") == length["d"])
     # Of equal vectors k + 1 are enough: the smallest ids, one of which may be the query.
-    first = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    distinct = rows.distinct().withColumn("_n", first).where(F.col("_n") <= k + 1)
+    first = F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))
+    distinct = rows.withColumn("_n", first).where(F.col("_n") <= k + 1)
     distinct = stored(distinct.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.collect_set("vec_id").alias("members")))
     sample = distinct.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toArrow()
     words = fit(_matrix(sample.column(0), np.float64)).words

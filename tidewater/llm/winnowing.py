@@ -1,6 +1,6 @@
 """Winnowing fingerprints and the neighbour comparison, in DataFrame functions only.
 
-Words are runs without white space. Every k consecutive words give one 64-bit hash;
+Words are runs without white space. Every k consecutive words give one hash of 37 bits;
 of each window of w hashes the least is kept, the rightmost one if several tie, with
 its position. Two texts that share any passage of w + k - 1 words share a kept hash.
 A text with fewer than k words gives one hash of all its words, one with fewer than
@@ -17,9 +17,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: position counted backwards, so that the least long is the rightmost least hash.
 POSITION_BITS = 26
 LAST_POSITION = (1 << POSITION_BITS) - 1
-#: Neighbours are found inside ranges of about this many ids.
-ROWS_PER_RANGE = 1_000
-MOST_RANGES = 4_096
+#: Neighbours are found inside ranges of about so many rows or bytes of text. Quantiles
+#: cut up to MOST_CUTS of them, each is then cut evenly into up to MOST_PARTS.
+ROWS_PER_RANGE, BYTES_PER_RANGE = 1_000, 64 << 20
+MOST_CUTS, MOST_PARTS = 4_096, 1_024
 _FAN = 64
 
 
@@ -76,37 +77,52 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     chunks = [bounds[i : i + _FAN] for i in range(0, len(bounds), _FAN)]
     coarse = F.size(F.filter(long([c[-1] for c in chunks]), lambda x: x <= key))
     fine = F.size(F.filter(F.get(F.array(*[long(c) for c in chunks], F.array().cast("array<bigint>")), coarse), lambda x: x <= key))
-    return coarse * _FAN + fine
+    return F.least(coarse * _FAN + fine, F.lit(len(bounds)))
+
+
+def _hash_part(hashed: Column, parts: int) -> Column:
+    """Which of so many equal parts of all signed hashes a hash lies in."""
+    return F.least(F.floor((hashed / F.lit(2.0**64) + 0.5) * parts), F.lit(parts - 1)).cast("int")
 
 
 def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """Add `next_<column>` from the row with the next id; the last row's is the first's.
 
-    Rows with equal ids follow each other by their text's hash; null ids come last.
-    Ids are cut at quantiles into ranges, each sorted by itself; the first row of each
-    range is also sent to the range before it. Only the cuts reach the driver.
+    Rows with equal ids follow each other by their text's hash; null ids come last. Ids
+    are cut at quantiles into ranges, which grow in number with rows and bytes, and null
+    ids by their text's hash; each range is sorted by itself, and its first row is also
+    sent to the range before it. Only the cuts reach the driver; the table of the ranges'
+    first keys, a few bytes for each, is broadcast.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    ids = rows.select(key.alias("key"))
-    count = rows.count()
-    ranges = max(1, min(MOST_RANGES, count // ROWS_PER_RANGE))
+    key, hashed = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64("text")
+    known = rows.where(F.col(id_col).isNotNull()).select(key.alias("key"))
+    size = rows.agg(F.count("*"), F.count_if(F.col(id_col).isNull()), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.min(id_col), F.max(id_col)).first()
+    wanted = max(1, min(MOST_CUTS * MOST_PARTS, max(size[0] // ROWS_PER_RANGE, size[2] // BYTES_PER_RANGE)))
+    cuts, parts = min(wanted, MOST_CUTS), -(-wanted // MOST_CUTS)
     bounds: list[int] = []
-    if ranges > 1:
-        cuts = [i / ranges for i in range(1, ranges)]
-        bounds = sorted(set(ids.agg(F.percentile_approx("key", cuts, 20 * MOST_RANGES)).first()[0]))
-    found = ids.groupBy(_range_of(F.col("key"), bounds).alias("range")).agg(F.min("key").alias("first")).collect()
-    firsts = {r["range"]: r["first"] for r in found}
-    filled = sorted(firsts)
-    before = {r: filled[i - 1] for i, r in enumerate(filled)}
-    span = filled[-1] + 1 if filled else 1
-    first = F.array(*[F.lit(firsts.get(r)).cast("long") for r in range(span)])
-    prior = F.array(*[F.lit(before.get(r)).cast("int") for r in range(span)])
-    placed = rows.withColumn("_key", key).withColumn("_range", _range_of(F.col("_key"), bounds))
+    if cuts > 1 and size[0] > size[1]:
+        at = [i / cuts for i in range(1, cuts)]
+        bounds = sorted(set(known.agg(F.percentile_approx("key", at, 20 * MOST_CUTS)).first()[0]))
+    span = _range_of(F.col("_key"), bounds)
+    if parts > 1 and size[0] > size[1]:
+        ends = [int(size[3]), *bounds, int(size[4])]
+        long = F.array(*[F.lit(x).cast("long") for x in ends])
+        low, high = F.get(long, span), F.get(long, span + 1)
+        share = (F.col("_key") - low) / F.greatest((high - low).cast("double"), F.lit(1.0))
+        span = span * parts + F.least(F.greatest(F.floor(share * parts), F.lit(0)), F.lit(parts - 1)).cast("int")
+    # Rows without an id lie behind all ranges of ids.
+    alone = max(1, min(MOST_CUTS, size[1] // ROWS_PER_RANGE))
+    span = F.when(F.col(id_col).isNull(), (len(bounds) + 1) * parts + _hash_part(F.col("_hash"), alone)).otherwise(span)
+    placed = rows.withColumn("_key", key).withColumn("_hash", hashed).withColumn("_range", span)
+    every = Window.orderBy("_range")
+    firsts = placed.groupBy("_range").agg(F.min(F.struct("_key", "_hash")).alias("_first"))
+    before = F.coalesce(F.lag("_range").over(every), F.max("_range").over(Window.partitionBy())).alias("_before")
+    placed = placed.join(F.broadcast(firsts.select("_range", "_first", before)), "_range")
     own = F.struct(F.col("_range").alias("range"), F.lit(False).alias("guest"))
-    guest = F.struct(F.get(prior, F.col("_range")).alias("range"), F.lit(True).alias("guest"))
-    is_first = F.col("_key") == F.get(first, F.col("_range"))
-    placed = placed.withColumn("_at", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))))
-    order = Window.partitionBy("_at.range").orderBy("_at.guest", "_key", F.xxhash64("text"), "text")
+    guest = F.struct(F.col("_before").alias("range"), F.lit(True).alias("guest"))
+    is_first = (F.col("_key") == F.col("_first._key")) & (F.col("_hash") == F.col("_first._hash"))
+    placed = placed.withColumn("_at", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own)))).drop("_first", "_before")
+    order = Window.partitionBy("_at.range").orderBy("_at.guest", "_key", "_hash", "text")
     following = F.lead(F.struct(*columns)).over(order)
     return placed.withColumn("_next", following).where("not _at.guest").select(*rows.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
