@@ -724,6 +724,47 @@ def test_coded_norms_are_those_of_the_sums():
     assert np.allclose(books.scores(sample[:5].astype(np.float32), codes), sums @ sample[:5].T, atol=1e-3)
 
 
+def badly_coded(kind):
+    deal = np.random.default_rng(8)
+    plain = deal.normal(size=(2000, 200 if kind == "wide" else 16))
+    stretch = {"long and short": deal.lognormal(sigma=2, size=(2000, 1)), "huge": 1e25, "tiny": 1e-25}.get(kind, 1)
+    made = plain * stretch + (100 if kind == "far off" else 0)
+    if kind == "clusters":
+        made = deal.normal(size=(40, 16))[deal.integers(40, size=2000)] + 1e-3 * plain
+    return made.astype(np.float32)
+
+
+@pytest.mark.parametrize("metric", ["inner", "l2"])
+@pytest.mark.parametrize("kind", ["wide", "long and short", "huge", "tiny", "far off", "clusters"])
+def test_neighbours_of_rows_that_codes_fit_badly(spark, monkeypatch, kind, metric):
+    """None of the nearest is missed, whatever the codes are worth."""
+    for name, value in {"SMALL": 700, "SAMPLE": 300, "CODEBOOKS": 8}.items():
+        monkeypatch.setattr(ann, name, value)
+    made = badly_coded(kind)
+    df = spark.createDataFrame(list(enumerate(made.tolist())), "vec_id long, embedding array<float>").repartition(4)
+    got, ids, matrix = ranked(ann.search(df, rerank=40, metric=metric)), np.arange(len(made)), made.astype(np.float64)
+    assert len(got) == len(made) / 20
+    for i, found in got.items():
+        score = -((matrix - matrix[i]) ** 2).sum(1) if metric == "l2" else (matrix * matrix[i]).sum(1)
+        assert found == [(j, score[j]) for j in np.lexsort((ids, -score)) if j != i][:20]
+
+
+@pytest.mark.parametrize("far", [False, True])
+@pytest.mark.parametrize("kind", ["wide", "long and short", "huge", "tiny", "far off", "clusters"])
+def test_no_score_passes_its_bound(monkeypatch, kind, far):
+    monkeypatch.setattr(ann, "CODEBOOKS", 8)
+    made = badly_coded(kind).astype(np.float64)
+    centre = np.median(made[:300], axis=0)
+    books = ann.fit(ann._directions(made[:300] - centre)[0])
+    unit, lengths = ann._directions(made - centre)
+    codes, norms = books.encode(unit)
+    errors = ann._lengths(made - centre - lengths[:, None] * books.sums(codes))
+    exact = np.array([ann._exact(made, q, far) for q in made[:100]])
+    likely, most = ann._by_code(books, centre, made[:100], (codes, norms.astype(np.float64), lengths, errors), far)
+    score, slack = ann._by_product(made, made[:100], far)
+    assert likely.shape == exact.shape and (most >= exact).all() and (np.abs(score - exact) <= slack).all()
+
+
 def test_neighbours_on_odd_vectors(spark):
     deal = np.random.default_rng(1)
     same = deal.normal(size=8).tolist()
